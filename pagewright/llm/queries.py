@@ -5,11 +5,14 @@ from __future__ import annotations
 from pagewright.llm.bodies import p3_body, p3_found
 from pagewright.llm.filters import p4_found, p4_validation, p5_found
 from pagewright.llm.lines import p2_clean, p2_found
+from pagewright.llm.mixing import p7_mix, p7_shares
+from pagewright.llm.packing import p6_fill, p6_pack
+from pagewright.llm.pii import p8_found, p8_redacted
 from pagewright.llm.quality import p1_found, p1_stats
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_clean, p3_found, p3_body, p4_found, p4_validation, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_stats, p2_found, p2_clean, p3_found, p3_body, p4_found, p4_validation, p5_found, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict:
