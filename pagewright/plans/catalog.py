@@ -1,0 +1,9 @@
+"""The core's queries by name and their SQL."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
