@@ -13,7 +13,7 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from pagewright.llm.lexicon import ANY_CUE, CUE_MAX_LINE as CUE_MAX, READER_HANDLE, fold, squash, tidy
+from pagewright.llm.lexicon import ANY_CUE, CUE_MAX_LINE as CUE_MAX, READER_HANDLE, fold, tidy, visible
 
 GOOD, BAD, OPEN, HEAD, ITEM = 1, -1, 0, 2, 3
 #: Block rules: characters below which a block is short, above which it is long; stop-word densities; link density.
@@ -71,6 +71,7 @@ class Markup:
         stack: list[list] = []  # [tag, role, box]
         at = last = boxes = 0
         linked = False
+        source = visible(source)
         for hit in _TAG.finditer(source):
             if hit.start() > last:
                 at = self._add(parts, source[last : hit.start()], at, linked, stack)
@@ -114,7 +115,7 @@ class Markup:
         self.text = "".join(parts)
 
     def _add(self, parts: list, raw: str, at: int, linked: bool, stack: list) -> int:
-        piece = squash(_html.unescape(raw) if "&" in raw else raw)
+        piece = "".join((visible(_html.unescape(raw)) if "&" in raw else raw).split())
         if piece:
             parts.append(piece)
             self.starts.append(at)
@@ -147,8 +148,8 @@ def blocks_of(text: str | None, markup: str | None, stopwords: frozenset) -> lis
         return out
     page = Markup(markup) if markup else None
     cursor = 0
-    for number, raw in enumerate(text.split("\n"), 1):
-        line = tidy(raw)
+    for number, raw in enumerate(visible(text).split("\n"), 1):
+        line = " ".join(raw.split())
         if not line:
             continue
         low = fold(line)

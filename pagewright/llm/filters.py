@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.pages import labelled_windows, page_facts, sample_pages
+from pagewright.llm.pages import labelled_windows, marked_blocks, page_facts, sample_pages
 from pagewright.llm.residue import fit_linear
 from pagewright.llm.tables import common_words, read_table
 
@@ -26,7 +26,8 @@ def p4_validation(spark: SparkSession, base: str) -> DataFrame:
     """Agreement of the classifier with the weak labels on a fifth of the hosts, none of which it was trained on."""
     words = common_words(spark, base)
     stop = frozenset(w for own in words.values() for w in own)
-    windows = labelled_windows(sample_pages(read_table(spark, base, "extraction_results").where(F.col("result_id").isNotNull())), stop)
+    rows = sample_pages(read_table(spark, base, "extraction_results").where(F.col("result_id").isNotNull()))
+    windows = [w for row in rows for w in labelled_windows(row, marked_blocks(row, stop))]
     held = np.array([zlib.crc32(host.encode()) % 5 == 0 for host, _, _ in windows], bool)
     labels = np.array([y for _, _, y in windows], float)
     weights = fit_linear([x for (_, x, _), h in zip(windows, held) if not h], labels[~held] if len(labels) else labels)

@@ -12,22 +12,24 @@ import unicodedata
 
 #: Characters that readers do not see: zero-width signs, soft hyphen, byte order mark.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
-_DROP = dict.fromkeys(map(ord, INVISIBLE))
 
 
 def visible(text: str) -> str:
     """``text`` without invisible characters."""
-    return text.translate(_DROP)
+    for sign in INVISIBLE:
+        if sign in text:
+            text = text.replace(sign, "")
+    return text
 
 
 def tidy(text: str) -> str:
     """Visible text with each run of white space as one space, trimmed."""
-    return " ".join(text.translate(_DROP).split())
+    return " ".join(visible(text).split())
 
 
 def squash(text: str) -> str:
     """Visible text without any white space; used to align lines with markup."""
-    return "".join(text.translate(_DROP).split())
+    return "".join(visible(text).split())
 
 
 def fold(text: str) -> str:

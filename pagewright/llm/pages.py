@@ -22,7 +22,7 @@ from pagewright.llm.stuffing import PROSE, LineModel, body_flags, fit_line_model
 from pagewright.llm.tables import bounded_sample, common_words, read_table, tune
 
 #: Rows of the sample that the residue classifier and the line model are fitted on, and the longest text in it.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 60_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 60_000
 
 FACTS = T.StructType(
     [
@@ -43,6 +43,7 @@ INPUTS = ("title", "text_content", "cleaned_html", "byline", "author", "site_nam
 
 _BY = re.compile(r"^(?:by|von|par|por)\s+", re.I)
 _END = re.compile(r"[.!?…][\"'»“”’)\]]*$")
+_SYMBOL = re.compile(r"[^\w\s]|_")
 _LANG = re.compile(r"^([a-z]{2,3})(?:[-_].*)?$")
 
 
@@ -98,7 +99,7 @@ def facts_of(row, models: PageModels, wanted: frozenset) -> tuple:
         common += b.stop * n
         letters += sum(map(len, b.words))
         chars += len(b.text)
-        symbols += sum(not c.isalnum() for c in b.text) - b.text.count(" ")
+        symbols += len(_SYMBOL.findall(b.text))
         ended += bool(_END.search(b.text))
         lines += 1
     noise = [b.line_no for b in blocks if b.mark == BAD] if "noise" in wanted else None
@@ -133,15 +134,10 @@ class _Page:
     lang: str | None
 
 
-def labelled_windows(rows: list, stop: frozenset) -> list[tuple]:
-    """(host, features, weak label) of the windows that have one."""
-    out = []
-    for row in rows:
-        host = re.sub(r"^[a-z]+://(?:www\.|m\.|amp\.)?([^/?#:]*).*$", r"\1", (row["url"] or "").lower(), flags=re.S)
-        for window in windows_of(row["title"], row["text_content"], blocks_of(row["text_content"], None, stop)):
-            if window.weak >= 0:
-                out.append((host, features_of(window), window.weak))
-    return out
+def labelled_windows(row, blocks: list) -> list[tuple]:
+    """(host, features, weak label) of those windows of a sampled page that have a label."""
+    host = re.sub(r"^[a-z]+://(?:www\.|m\.|amp\.)?([^/?#:]*).*$", r"\1", (row["url"] or "").lower(), flags=re.S)
+    return [(host, features_of(w), w.weak) for w in windows_of(row["title"], row["text_content"], blocks) if w.weak >= 0]
 
 
 def sample_pages(pages: DataFrame) -> list:
@@ -153,9 +149,23 @@ def train(spark: SparkSession, base: str, pages: DataFrame, wanted: frozenset) -
     words = common_words(spark, base)
     stop = frozenset(w for own in words.values() for w in own)
     rows = sample_pages(pages) if wanted & {"residue", "stuffed", "stats"} else []
-    windows = labelled_windows(rows, stop) if "residue" in wanted else []
+    windows: list[tuple] = []
+
+    def read():
+        """Each sampled page's blocks in turn, so that they are not all held at once."""
+        for row in rows:
+            blocks = marked_blocks(row, stop)
+            if "residue" in wanted:
+                windows.extend(labelled_windows(row, blocks))
+            yield blocks
+
+    if wanted & {"stuffed", "stats"}:
+        lines = fit_line_model(read())
+    else:
+        lines = fit_line_model([])
+        for _ in read():
+            pass
     residue = fit_linear([x for _, x, _ in windows], np.array([y for _, _, y in windows], float))
-    lines = fit_line_model([marked_blocks(row, stop) for row in rows] if wanted & {"stuffed", "stats"} else [])
     return PageModels(words, stop, residue, lines)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ STUFFED_SHARE, LEAST_WORDS = 0.5, 6
 
 _SEPARATOR = re.compile(r"[#,;|/·•!]|\s[-–—]\s")
 _SYMBOL = re.compile(r"[^\w\s#,|;/·•!\-–—.'’\"()?:%&«»“”„…]|[\u00c2\u00c3\u00e2\ufffd](?=[^a-zà-ÿ\s]|[\u00c2\u00c3])")
+_DIGIT = re.compile(r"\d")
 _END = re.compile(r"[.!?…][\"'»“”’)\]]*$")
 _URL = re.compile(r"(?:https?://|www\.)\S|^\S+\.(?:com|org|net|info|invalid|test|example)(?:/\S*)?$")
 
@@ -41,7 +43,7 @@ def signs_of(b: Block, repeated: float) -> tuple[int, ...]:
     sep = 0 if rate == 0 else 1 if rate < 0.12 else 2 if rate < 0.25 else 3 if rate < 0.45 else 4
     rep = 0 if repeated < 0.2 else 1 if repeated < 0.4 else 2 if repeated < 0.6 else 3 if repeated < 0.8 else 4
     end = 0 if _END.search(b.text) else 1 if b.text[:1].isupper() else 2
-    digits = sum(c.isdigit() for c in b.text)
+    digits = len(_DIGIT.findall(b.text))
     kind = 3 if _URL.search(b.low) else 2 if digits > 0.25 * len(b.text) or n == 0 else 1 if digits else 0
     return link, stop, size, sep, rep, end, kind, strangeness(b)
 
@@ -136,7 +138,7 @@ def _estimate(pages: list[tuple[np.ndarray, np.ndarray]], smooth: float = 0.5) -
     return LineModel(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), [np.log(t / t.sum(1, keepdims=True)) for t in emit])
 
 
-def fit_line_model(pages: list[list[Block]], rounds: int = 2) -> LineModel:
+def fit_line_model(pages: Iterable[list[Block]], rounds: int = 2) -> LineModel:
     """Train on pages whose blocks are marked: weak labels first, then hard re-estimation on the decoded states,
     where a weak label, if there is one, is kept. Each page is also shown with its markup withheld, so that pages
     without markup are read from the shape of their lines."""
