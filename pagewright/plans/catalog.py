@@ -1,9 +1,264 @@
-"""The core's queries by name and their SQL."""
+"""The core's queries by name, each over the whole tables of a folder."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from pagewright.functions import text, urls
+from pagewright.functions.markup import tag_link_density
+from pagewright.operators import logs, pages, search, settle, tools
+from pagewright.operators.extract import extract
+from pagewright.plans import oracle
+from pagewright.sources.tables import read_table
+
+#: Words of the corpus search query.
+TERMS = ("harbour", "pensions", "railway")
+TOP = 10
+
+
+def _pages(spark: SparkSession, base: str) -> DataFrame:
+    return read_table(spark, base, "extraction_results")
+
+
+def _results(spark: SparkSession, base: str) -> DataFrame:
+    return read_table(spark, base, "search_results")
+
+
+def url_policy(spark, base):
+    return pages.policy(_pages(spark, base))
+
+
+def strip_tracking(spark, base):
+    return _pages(spark, base).select("result_id", urls.strip_tracking(F.col("url")).alias("clean_url"))
+
+
+def canonical_dedupe(spark, base):
+    return pages.latest_pages(_pages(spark, base))
+
+
+def unwrap_redirect(spark, base):
+    return _results(spark, base).select("search_id", "rank_no", urls.unwrap_redirect(F.col("url")).alias("target"))
+
+
+def domain_counts(spark, base):
+    return _pages(spark, base).groupBy(urls.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"))
+
+
+def search_urls(spark, base):
+    one = _results(spark, base).groupBy("search_id").agg(F.min("query_text").alias("query_text"), F.min("locale").alias("locale"), F.min("region_code").alias("region_code"))
+    return one.select("search_id", urls.search_url(text.collapse(F.col("query_text")), F.lit(10), F.col("locale"), F.col("region_code")).alias("address"))
+
+
+def page_titles(spark, base):
+    lang = F.nullif(F.lower(F.regexp_extract("lang", r"^([A-Za-z]{2,3})", 1)), F.lit(""))
+    return _pages(spark, base).select("result_id", text.clean_string(F.col("title")).alias("clean_title"), lang.alias("base_lang"))
+
+
+def page_link_density(spark, base):
+    return _pages(spark, base).select("result_id", tag_link_density(F.col("cleaned_html")).alias("link_density"))
+
+
+def page_quality(spark, base):
+    return pages.page_scores(_pages(spark, base))
+
+
+def label_histogram(spark, base):
+    return page_quality(spark, base).groupBy("page_label").agg(F.count("*").alias("pages"), F.min("page_score").alias("least_score"), F.max("page_score").alias("most_score"))
+
+
+def recorded_scores(spark, base):
+    return _pages(spark, base).groupBy("score_label").agg(F.count("*").alias("pages"), F.count_if("weak_extraction").alias("weak_pages"), F.sum(F.size("warnings").cast("long")).alias("warning_count"))
+
+
+def doc_quality(spark, base):
+    docs = read_table(spark, base, "documents")
+    none = F.lit(None).cast("string")
+    return pages.scored(docs, "doc_id", F.col("text"), F.lit(0.0), F.col("agenda_item"), F.col("speaker"), none, F.col("sitting_date"))
+
+
+def boilerplate_hits(spark, base):
+    return _pages(spark, base).select("result_id", text.boilerplate_hits(F.coalesce("text_content", F.lit(""))).alias("hits"))
+
+
+def noise_hits(spark, base):
+    return _pages(spark, base).select("result_id", text.noise_count(F.coalesce("text_content", F.lit(""))).alias("noise_hits"))
+
+
+def noise_context(spark, base):
+    return pages.noise_rows(_pages(spark, base))
+
+
+def paragraph_stats(spark, base):
+    said = F.coalesce("text_content", F.lit(""))
+    return _pages(spark, base).select("result_id", text.paragraph_count(said).alias("paragraphs"), text.average_sentence_words(said).alias("avg_sentence_words"))
+
+
+def text_sample(spark, base):
+    return _pages(spark, base).select("result_id", F.array_join(text.text_sample(text.bare_text(F.coalesce("cleaned_html", F.lit("")))), " | ").alias("sample"))
+
+
+def short_hash(spark, base):
+    return _pages(spark, base).select("result_id", F.concat(urls.domain(F.col("url")), F.lit("-"), urls.short_hash(F.col("url"))).alias("snapshot"))
+
+
+def normalize_docs(spark, base):
+    return read_table(spark, base, "documents").select("doc_id", text.normalize_text(F.col("text"), 400, compose=False).alias("short_text"))
+
+
+def search_corpus_topk(spark, base):
+    return search.corpus_search(read_table(spark, base, "documents"), list(TERMS), TOP)
+
+
+def search_ranks(spark, base):
+    shaped = search.shape_results(_results(spark, base), ["search_id"], "rank_no", F.lit(5))
+    return shaped.select("search_id", "result_rank", "rank_no", urls.unwrap_redirect(F.col("url")).alias("target"))
+
+
+def _linked(spark, base) -> tuple[DataFrame, DataFrame]:
+    """Shaped results and the latest extraction of each canonical URL, ready for the tools."""
+    shaped = search.shape_results(_results(spark, base), ["search_id"], "rank_no", F.lit(5))
+    results = shaped.select(F.col("search_id").alias("query"), F.col("result_rank").alias("rank"), "title", urls.unwrap_redirect(F.col("url")).alias("url"), "snippet")
+    fetched = _pages(spark, base)
+    newest = pages.latest_pages(fetched).select("result_id")
+    latest = fetched.join(newest, "result_id", "left_semi").withColumn("error_code", F.lit(None).cast("string"))
+    return results, latest
+
+
+def open_result_rank(spark, base):
+    results, latest = _linked(spark, base)
+    opened = tools.open_result(results, latest, 1)
+    return opened.select(F.col("query").alias("search_id"), "result_id", "score")
+
+
+def fetch_search_extract(spark, base):
+    results, latest = _linked(spark, base)
+    rows = tools.search_and_extract(results, latest)
+    return rows.select(F.col("query").alias("search_id"), "rank", "title", "content_length", "extraction_score", F.array_join("warnings", ",").alias("warnings"))
+
+
+def fetch_search_documents(spark, base):
+    results, latest = _linked(spark, base)
+    return tools.nested(results, results, tools.search_and_extract(results, latest))
+
+
+def failed_extractions(spark, base):
+    results, latest = _linked(spark, base)
+    keyed = results.select(urls.canonical(F.col("url")).alias("canonical")).distinct()
+    return keyed.join(latest.select(urls.canonical(F.col("url")).alias("canonical")), "canonical", "left_anti")
+
+
+def tier_audit(spark, base):
+    return pages.audit_report(read_table(spark, base, "audit_entries"))
+
+
+def latest_audits(spark, base):
+    return pages.latest_audits(read_table(spark, base, "audit_entries"))
+
+
+def audit_rollup(spark, base):
+    audits = read_table(spark, base, "audit_entries")
+    return audits.rollup("tier", "category").agg(F.count("*").alias("entries"), F.count_if("success").alias("succeeded"), F.grouping_id().cast("int").alias("grouping_level"))
+
+
+def log_levels(spark, base):
+    rows = logs.at_least(read_table(spark, base, "log_entries"), "warn")
+    return rows.groupBy(F.lower(F.trim("log_level")).alias("level_name"), "error_code").agg(F.count("*").alias("lines"))
+
+
+def log_requests(spark, base):
+    return logs.requests(read_table(spark, base, "log_entries"))
+
+
+def tool_report(spark, base):
+    return logs.tool_report(read_table(spark, base, "log_entries"))
+
+
+def error_messages(spark, base):
+    rows = logs.distinct_lines(read_table(spark, base, "log_entries")).where("error_code is not null")
+    return rows.select("log_id", logs.client_message(F.col("error_code"), F.col("message")).alias("client_message"))
+
+
+def search_gaps(spark, base):
+    return logs.search_gaps(_results(spark, base), 3600)
+
+
+def settle_requests(spark, base):
+    """Requests as pages: each log line is a poll, with the length of its message as the text seen so far."""
+    lines = logs.distinct_lines(read_table(spark, base, "log_entries")).where("request_id is not null")
+    first = F.min(F.unix_millis("logged_at")).over(Window.partitionBy("request_id"))
+    seen = lines.select(
+        F.col("request_id").alias("page_id"), (F.unix_millis("logged_at") - first).alias("t_ms"), F.length("message").alias("text_length"), F.col("error_code").isNotNull().alias("mutated"), F.lit(0).alias("in_flight"),
+    )
+    return settle.settle(seen, settle.SettleOptions(max_wait_ms=60_000, min_text_length=10, fast_path=60))
+
+
+def _as_pages(spark, base) -> DataFrame:
+    return _pages(spark, base).select(F.col("result_id").alias("page_id"), "url", "final_url", F.col("cleaned_html").alias("html"))
+
+
+def extract_text(spark, base):
+    return extract(_as_pages(spark, base))
+
+
+def extract_markdown(spark, base):
+    return extract(_as_pages(spark, base), output_format="markdown", max_chars=8000).select("page_id", "content_body", "score", "error_code")
+
+
+def extract_html(spark, base):
+    return extract(_as_pages(spark, base), output_format="html", max_chars=8000).select("page_id", "content_body", "score", "error_code")
+
+
+def extract_json(spark, base):
+    return tools.record_json(extract(_as_pages(spark, base), max_chars=1000))
+
+
+def _card(title: Column, url: Column, display: Column, snippet: Column, ad: Column) -> Column:
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    return F.concat(
+        F.lit("<div class='card'>"), F.when(ad, F.lit("<span>Sponsored</span>")).otherwise(F.lit("")), F.lit('<a href="'), escape(url), F.lit('"><h3>'), escape(title), F.lit("</h3></a><cite>"),
+        F.coalesce(escape(display), F.lit("")), F.lit("</cite><div class='s'>"), F.coalesce(escape(snippet), F.lit("")), F.lit("</div></div>"),
+    )
+
+
+def serp_pages(results: DataFrame) -> DataFrame:
+    """Recorded results written back as results pages: (query, html, address)."""
+    rows = results.where("title is not null and url is not null").dropDuplicates(["search_id", "rank_no"])
+    card = _card(F.col("title"), F.col("url"), F.col("display_url"), F.col("snippet"), F.coalesce("is_ad", F.lit(False)))
+    cards = F.array_sort(F.collect_list(F.struct("rank_no", card.alias("card"))))
+    page = F.concat(F.lit("<html><body>"), F.array_join(F.transform(cards, lambda c: c["card"]), ""), F.lit("</body></html>"))
+    return rows.groupBy(F.col("search_id").alias("query")).agg(page.alias("html")).withColumn("address", F.lit("https://www.google.com/search?q=x"))
+
+
+def serp_roundtrip(spark, base):
+    parsed = search.parse_serps(serp_pages(_results(spark, base)))
+    return parsed.select(F.col("query").alias("search_id"), "position", "title", F.col("url").alias("target"))
+
+
+def serp_blocks(spark, base):
+    shown = serp_pages(_results(spark, base))
+    blocked = shown.where("query % 7 = 3").withColumns({"html": F.lit("<html><body><p>Our systems have detected unusual traffic.</p></body></html>")})
+    both = shown.where("query % 7 != 3").unionByName(blocked)
+    return search.serp_errors(both, search.parse_serps(both))
+
+
+def health(spark, base):
+    return tools.health_check(spark, search.TableProvider(_results(spark, base)))
+
+
+_ALL = (
+    page_quality, url_policy, strip_tracking, canonical_dedupe, unwrap_redirect, domain_counts, search_urls, page_titles, page_link_density, label_histogram, recorded_scores, doc_quality,
+    boilerplate_hits, noise_hits, noise_context, paragraph_stats, text_sample, short_hash, normalize_docs, search_corpus_topk, search_ranks, open_result_rank, fetch_search_extract,
+    fetch_search_documents, failed_extractions, tier_audit, latest_audits, audit_rollup, log_levels, log_requests, tool_report, error_messages, search_gaps, settle_requests, extract_text,
+    extract_markdown, extract_html, extract_json, serp_roundtrip, serp_blocks, health,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _ALL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.statements()
