@@ -133,12 +133,15 @@ class _Builder(HTMLParser):
                 return
 
     def _end(self, tags: set, walls) -> None:
+        """Close the outermost open element of ``tags`` above the nearest wall, and all within it."""
+        cut = 0
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in walls:
-                return
+                cut = k
+            elif self.open[k].tag in walls:
+                break
+        if cut:
+            del self.open[cut:]
 
 
 def parse(source: str | None) -> Node:

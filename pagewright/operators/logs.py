@@ -56,5 +56,6 @@ def search_gaps(results: DataFrame, least_s: int = 2) -> DataFrame:
     """Searches of a day and region that began less than ``least_s`` seconds after the one before."""
     searches = results.groupBy("search_id").agg(F.min("searched_at").alias("searched_at"), F.min("region_code").alias("region_code"))
     order = Window.partitionBy(F.to_date("searched_at"), "region_code").orderBy("searched_at", "search_id")
-    gap = F.unix_micros("searched_at") - F.unix_micros(F.lag("searched_at").over(order))
+    at = F.unix_micros(F.col("searched_at").cast("timestamp"))
+    gap = at - F.lag(at).over(order)
     return searches.withColumn("gap_us", gap).where(F.col("gap_us") < least_s * 1_000_000).select("search_id", "region_code", "gap_us")

@@ -188,9 +188,10 @@ def search_gaps(spark, base):
 def settle_requests(spark, base):
     """Requests as pages: each log line is a poll, with the length of its message as the text seen so far."""
     lines = logs.distinct_lines(read_table(spark, base, "log_entries")).where("request_id is not null")
-    first = F.min(F.unix_millis("logged_at")).over(Window.partitionBy("request_id"))
+    at = F.unix_millis(F.col("logged_at").cast("timestamp"))
+    first = F.min(at).over(Window.partitionBy("request_id"))
     seen = lines.select(
-        F.col("request_id").alias("page_id"), (F.unix_millis("logged_at") - first).alias("t_ms"), F.length("message").alias("text_length"), F.col("error_code").isNotNull().alias("mutated"), F.lit(0).alias("in_flight"),
+        F.col("request_id").alias("page_id"), (at - first).alias("t_ms"), F.length("message").alias("text_length"), F.col("error_code").isNotNull().alias("mutated"), F.lit(0).alias("in_flight"),
     )
     return settle.settle(seen, settle.SettleOptions(max_wait_ms=60_000, min_text_length=10, fast_path=60))
 

@@ -138,10 +138,10 @@ _REQUESTS = f"""SELECT request_id, min(tool_name) AS tool_name, count(*) AS line
 
 
 def _noise_rows() -> str:
-    one = "SELECT result_id, {lit} AS noise_pattern, regexp_extract(said, {hit}, 1) AS matched_text, said, length(regexp_extract(said, {lead}, 1)) AS at FROM texts WHERE regexp_matches(said, {hit})"
+    one = "SELECT result_id, {lit} AS noise_pattern, regexp_extract(said, {hit}, 1) AS matched_text, said, length(regexp_extract(said, {lead}, 1)) AS ahead FROM texts WHERE regexp_matches(said, {hit})"
     union = " UNION ALL ".join(one.format(lit=_q(p), hit=_noise(p), lead=_noise(p, "^(.*?)")) for p in NOISE)
     return f"""WITH texts AS (SELECT result_id, coalesce(text_content, '') AS said FROM extraction_results), hits AS ({union})
-      SELECT result_id, noise_pattern, matched_text, replace(substr(said, greatest(at - 40, 0)::BIGINT + 1, (at - greatest(at - 40, 0) + length(matched_text) + 40)::BIGINT), chr(10), ' ') AS near_text FROM hits"""
+      SELECT result_id, noise_pattern, matched_text, replace(substr(said, greatest(ahead - 40, 0)::BIGINT + 1, (ahead - greatest(ahead - 40, 0) + length(matched_text) + 40)::BIGINT), chr(10), ' ') AS near_text FROM hits"""
 
 
 def _truncated(text: str, limit: int) -> str:
