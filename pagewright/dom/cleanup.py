@@ -5,28 +5,33 @@ from __future__ import annotations
 import re
 
 from pagewright.constants import PRESERVED_SELECTORS, REMOVED_SELECTORS, REMOVED_TOKENS
-from pagewright.dom.select import compile_selector
+from pagewright.dom.select import Selectors
 from pagewright.dom.tree import Node
 
 #: Elements that browsers never show. There is no style engine here: hiding is read from inline style and attributes.
 UNSHOWN = frozenset(("head", "title", "meta", "link", "script", "style", "template", "noscript", "base"))
 _TOKENS = re.compile("|".join(map(re.escape, REMOVED_TOKENS)))
+_PRESERVED, _REMOVED = Selectors(PRESERVED_SELECTORS), Selectors(REMOVED_SELECTORS)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _immune(root: Node) -> set[int]:
     """Ids of nodes that match a preserved selector and of all their ancestors."""
-    tests = [compile_selector(s) for s in PRESERVED_SELECTORS]
     marked: set[int] = set()
     for node in root.elements():
-        if any(t(node) for t in tests):
+        if _PRESERVED.match(node):
             marked.add(id(node))
-            marked.update(id(a) for a in node.ancestors())
+            for above in node.ancestors():
+                if id(above) in marked:
+                    break  # its ancestors are marked already
+                marked.add(id(above))
     return marked
 
 
 def _hidden(node: Node) -> bool:
-    return node.tag in UNSHOWN or "hidden" in node.attrs or node.get("aria-hidden").lower() == "true" or bool(_HIDDEN_STYLE.search(node.get("style")))
+    if node.tag in UNSHOWN:
+        return True
+    return bool(node.attrs) and ("hidden" in node.attrs or node.get("aria-hidden").lower() == "true" or bool(_HIDDEN_STYLE.search(node.get("style"))))
 
 
 def clean_tree(root: Node) -> None:
@@ -38,15 +43,13 @@ def clean_tree(root: Node) -> None:
     containers are pruned from the bottom up, so that their parents can follow.
     """
     immune = _immune(root)
-    removed = [compile_selector(s) for s in REMOVED_SELECTORS]
     stack = [root]
     while stack:
         node = stack.pop()
         kept = []
         for child in node.children:
             if child.tag and id(child) not in immune:
-                tokens = f"{child.get('class')} {child.get('id')}".lower()
-                if any(t(child) for t in removed) or _TOKENS.search(tokens) or _hidden(child):
+                if _REMOVED.match(child) or child.attrs and _TOKENS.search(f"{child.get('class')} {child.get('id')}".lower()) or _hidden(child):
                     child.parent = None
                     continue
                 if child.tag == "svg" and child.get("role").lower() != "img" and not any(a.tag == "figure" for a in child.ancestors()):

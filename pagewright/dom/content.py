@@ -9,9 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pagewright.dom.tree import Node, body_of, serialize
+from pagewright.dom.tree import Node, body_of
 
-_SPACE = re.compile(r"\s+")
 _BYLINE = re.compile(r"(?:^|[\s_-])(?:byline|author|writtenby|p-author)(?:$|[\s_-])", re.I)
 _PARAGRAPHS = ("p", "pre", "td", "blockquote", "li", "dd")
 #: Text of a semantic container from which it is taken without scoring, and of a page that reads as an article.
@@ -23,13 +22,12 @@ class Article:
     title: str
     byline: str | None
     excerpt: str | None
-    content: str
-    text: str
+    node: Node
     lang: str | None
 
 
 def squeezed(node: Node) -> str:
-    return _SPACE.sub(" ", node.text_content()).strip()
+    return " ".join(node.text_content().split())
 
 
 def link_share(node: Node) -> float:
@@ -87,4 +85,4 @@ def article_of(root: Node, title: str | None, language: str | None) -> Article |
     excerpt = next((t for p in chosen.elements() if p.tag == "p" and (t := squeezed(p))), None)
     heading = root.find("h1")
     name = title or (squeezed(heading) if heading else "")
-    return Article(name or "", byline, excerpt, f"<div>{serialize(chosen)}</div>", squeezed(chosen), language)
+    return Article(name or "", byline, excerpt, chosen, language)

@@ -9,20 +9,25 @@ from pagewright.dom.content import squeezed
 from pagewright.dom.tree import Node, body_of, parse, serialize
 
 _PHRASES = [re.compile(rf"\b(?:{p})\b", re.I | re.A) for p in BOILERPLATE]
+_ANY_PHRASE = re.compile(rf"\b(?:{'|'.join(BOILERPLATE)})\b", re.I | re.A)
 _TRACKING = re.compile(r"([?&])(?:utm_[a-z_]+|fbclid|gclid|mc_cid|mc_eid)=[^\s&#]+", re.I)
 _SIGN_UP = re.compile(r"\b(?:subscribe|sign\s*up|join)\b", re.I)
 _SOLID = ("img", "br", "hr", "video", "audio", "iframe", "table", "pre", "code", "blockquote")
 
 
 def phrase_count(text: str) -> int:
-    return sum(bool(p.search(text)) for p in _PHRASES)
+    return sum(bool(p.search(text)) for p in _PHRASES) if _ANY_PHRASE.search(text) else 0
 
 
 def post_clean(markup: str) -> tuple[str, list[str]]:
     """Cleaned markup with white space collapsed, and the warnings of what was removed."""
     if not markup or not markup.strip():
         return "", []
-    body = body_of(parse(markup))
+    return post_clean_tree(body_of(parse(markup)))
+
+
+def post_clean_tree(body: Node) -> tuple[str, list[str]]:
+    """`post_clean` of the children of ``body``, which it changes."""
     warnings = []
     _drop_empty(body)
     if _drop(body, ("p", "li", "small", "div", "section"), _is_boilerplate):
@@ -30,11 +35,11 @@ def post_clean(markup: str) -> tuple[str, list[str]]:
     if _drop(body, ("p", "div", "section", "article", "li", "nav"), _is_link_dense):
         warnings.append("LINK_DENSE_BLOCKS_REMOVED")
     for node in list(body.walk()):
-        if node.tag is None and _TRACKING.search(node.text):
+        if node.tag is None and "=" in node.text and _TRACKING.search(node.text):
             left = re.sub(r"[?&]$", "", _TRACKING.sub(r"\1", node.text))
-            node.text = re.sub(r"\s+", " ", left).strip()
+            node.text = " ".join(left.split())
     _drop(body, ("form",), _is_sign_up)
-    return re.sub(r"\s+", " ", serialize(body)).strip(), warnings
+    return " ".join(serialize(body).split()), warnings
 
 
 def _drop(body: Node, tags: tuple, test) -> bool:

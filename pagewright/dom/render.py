@@ -168,22 +168,25 @@ def sanitized(body: Node, limit: int) -> str:
     return out[: cut if cut > 0 else limit].rstrip()
 
 
-def render(markup: str, output_format: str, limit: int) -> tuple[str, str]:
-    """(content in the wanted format, plain text), both within ``limit`` characters; '' for no markup."""
-    if not markup or not markup.strip():
-        return "", ""
-    body = body_of(parse(markup))
+def render_tree(body: Node, output_format: str, limit: int) -> tuple[str, str]:
+    """(content in the wanted format, plain text), both within ``limit`` characters. The html format changes ``body``."""
     text = normalize(plain_text(body), limit)
     if output_format == "markdown":
         return markdown(body, limit), text
     return (sanitized(body, limit), text) if output_format == "html" else (text, text)
 
 
-def link_density(markup: str | None) -> float:
+def tree_link_density(body: Node) -> float:
     """Characters in links over all characters, at most 1; 0 without text."""
-    if not markup or not markup.strip():
-        return 0.0
-    body = body_of(parse(markup))
-    total = len(_SPACE.sub(" ", body.text_content()).strip())
-    linked = sum(len(_SPACE.sub(" ", a.text_content()).strip()) for a in body.elements() if a.tag == "a")
+    total = len(" ".join(body.text_content().split()))
+    linked = sum(len(" ".join(a.text_content().split())) for a in body.elements() if a.tag == "a")
     return min(1.0, linked / total) if total else 0.0
+
+
+def render(markup: str, output_format: str, limit: int) -> tuple[str, str]:
+    """`render_tree` of markup; '' for none."""
+    return render_tree(body_of(parse(markup)), output_format, limit) if markup and markup.strip() else ("", "")
+
+
+def link_density(markup: str | None) -> float:
+    return tree_link_density(body_of(parse(markup))) if markup and markup.strip() else 0.0

@@ -77,6 +77,26 @@ def compile_selector(selector: str) -> Test:
     return choices[0] if len(choices) == 1 else lambda n: any(c(n) for c in choices)
 
 
+class Selectors:
+    """Many selectors as one test. A selector that names no type needs an attribute, so plain elements skip those."""
+
+    def __init__(self, selectors):
+        self.by_tag: dict[str, list[Test]] = {}
+        self.by_attribute: list[Test] = []
+        for selector in selectors:
+            first = re.match(r"[a-zA-Z][\w-]*", _split(_split(selector, ",")[0], " ")[-1])
+            if first and len(_split(selector, ",")) == 1:
+                self.by_tag.setdefault(first.group().lower(), []).append(compile_selector(selector))
+            else:
+                self.by_attribute.append(compile_selector(selector))
+
+    def match(self, node: Node) -> bool:
+        own = self.by_tag.get(node.tag)
+        if own and any(t(node) for t in own):
+            return True
+        return bool(node.attrs) and any(t(node) for t in self.by_attribute)
+
+
 def select(root: Node, selector: str) -> list[Node]:
     test = compile_selector(selector)
     return [n for n in root.elements() if test(n)]

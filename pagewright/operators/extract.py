@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from pagewright.dom.cleanup import clean_tree
 from pagewright.dom.content import article_of, is_readable
 from pagewright.dom.metadata import FIELDS, metadata_of
-from pagewright.dom.postclean import post_clean
-from pagewright.dom.render import link_density, render
-from pagewright.dom.tree import parse
+from pagewright.dom.postclean import post_clean_tree
+from pagewright.dom.render import render_tree, tree_link_density
+from pagewright.dom.tree import Node, body_of, parse
 from pagewright.functions import quality
 from pagewright.functions.text import boilerplate_hits, sentence_count
 from pagewright.functions.urls import url_error
@@ -41,8 +41,12 @@ _STAGE = T.StructType(
 )
 
 
-def extract_page(source: str | None, output_format: str, limit: int) -> tuple:
-    """All document stages of one page; never raises, so that one broken page cannot fail a task."""
+def extract_page(source: str | None, output_format: str, limit: int, strict_parity: bool = True) -> tuple:
+    """All document stages of one page; never raises, so that one broken page cannot fail a task.
+
+    With ``strict_parity`` the content stands in one more block, as readers' output does; a
+    page whose whole text matches two boilerplate phrases is then dropped as a block.
+    """
     if source is None:
         return (*[None] * len(FIELDS), None, None, None, None, None, None, None, 0.0, [], "NAVIGATION_FAILED")
     try:
@@ -53,24 +57,31 @@ def extract_page(source: str | None, output_format: str, limit: int) -> tuple:
         article = article_of(root, meta["title"], meta["language"])
         if article is None:
             return (*meta.values(), None, None, None, None, "", "", "", 0.0, [*warnings, "READABILITY_FAILED"], "READABILITY_EMPTY")
-        cleaned, more = post_clean(article.content)
-        content, text = render(cleaned, output_format, limit)
+        holder, wrapper = Node("body"), Node("div")
+        for node in article.node.children if article.node.tag == "body" or not strict_parity else [article.node]:
+            (wrapper if strict_parity else holder).append(node)
+        if strict_parity:
+            holder.append(wrapper)
+        cleaned, more = post_clean_tree(holder)
+        final = body_of(parse(cleaned))
+        density = tree_link_density(final)
+        content, text = render_tree(final, output_format, limit)
         error = None if text else "READABILITY_EMPTY"
-        return (*meta.values(), article.title, article.byline, article.excerpt, article.lang, content, cleaned, text, link_density(cleaned), [*warnings, *more], error)
+        return (*meta.values(), article.title, article.byline, article.excerpt, article.lang, content, cleaned, text, density, [*warnings, *more], error)
     except Exception as problem:  # any defect of a page becomes data
         return (*[None] * len(FIELDS), None, None, None, None, None, None, None, 0.0, [type(problem).__name__], "INTERNAL_ERROR")
 
 
-def document_stage(output_format: str, limit: int):
+def document_stage(output_format: str, limit: int, strict_parity: bool = True):
     names = [f.name for f in _STAGE]
 
     def run(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract_page(h if isinstance(h, str) else None, output_format, limit) for h in html], columns=names)
+        return pd.DataFrame([extract_page(h if isinstance(h, str) else None, output_format, limit, strict_parity) for h in html], columns=names)
 
     return F.pandas_udf(run, _STAGE).asNondeterministic()
 
 
-def extract(pages: DataFrame, output_format: str = "text", max_chars: int = 12_000, timeout_ms: int = 15_000, wait_until: str = "load", settle_ms: int = 1200) -> DataFrame:
+def extract(pages: DataFrame, output_format: str = "text", max_chars: int = 12_000, timeout_ms: int = 15_000, wait_until: str = "load", settle_ms: int = 1200, strict_parity: bool = True) -> DataFrame:
     """One row for each of ``pages`` (page_id, url, html, and optional final_url and elapsed_ms): the extraction, or its error code.
 
     Columns: page_id, url, final_url, output_format, content_body, cleaned_html,
@@ -91,7 +102,7 @@ def extract(pages: DataFrame, output_format: str = "text", max_chars: int = 12_0
     early = F.coalesce(url_error(F.col("url")), F.when(elapsed > timeout_ms, F.lit("LOAD_TIMEOUT")))
     inputs = pages.select("page_id", "url", final.alias("final_url"), "html", early.alias("early"))
     refused = inputs.where(F.col("early").isNotNull())
-    loaded = inputs.where(F.col("early").isNull()).withColumn("d", document_stage(output_format, max_chars)("html")).select("page_id", "url", "final_url", "d.*")
+    loaded = inputs.where(F.col("early").isNull()).withColumn("d", document_stage(output_format, max_chars, strict_parity)("html")).select("page_id", "url", "final_url", "d.*")
     text = F.col("text_content")
     failed = F.col("stage_error").isNotNull()
     title = F.coalesce(F.nullif("article_title", F.lit("")), F.col("meta_title"))
