@@ -19,6 +19,9 @@ GOOD, BAD, OPEN, HEAD, ITEM = 1, -1, 0, 2, 3
 #: Block rules: characters below which a block is short, above which it is long; stop-word densities; link density.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKED = 70, 200, 0.18, 0.28, 0.5
 
+#: Characters of a page's text from which lines are aligned near the last one only.
+LONG_PAGE = 400_000
+
 _TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>", re.S | re.I)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*["']([^"']*)["']""", re.I)
 _NOISE_TOKEN = re.compile(
@@ -125,6 +128,10 @@ class Markup:
         return at
 
     def find(self, piece: str, cursor: int) -> int:
+        """Where ``piece`` stands, at or after ``cursor`` if it does. On very long pages only near the cursor, as text and
+        markup run in the same order and each search from the start would cost the page's length."""
+        if len(self.text) > LONG_PAGE:
+            return self.text.find(piece, max(0, cursor - LONG_PAGE // 4), cursor + len(piece) + LONG_PAGE // 2)
         at = self.text.find(piece, cursor)
         return at if at >= 0 else self.text.find(piece)
 

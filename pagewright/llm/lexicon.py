@@ -44,7 +44,7 @@ def plain_ascii(text: str) -> str:
 
 _CUES = {
     "consent": r"""
-        \bcookies?\b | values? your privacy | small files on your device | accept all\b | reject all\b | manage preferences
+        \bcookies?\b | ^(?:this (?:web)?site uses|ce site utilise|diese (?:web)?seite (?:nutzt|verwendet)|este sitio (?:web )?(?:usa|utiliza))\b | \btémoins de connexion | values? your privacy | small files on your device | accept all\b | reject all\b | manage preferences
         | speichern daten auf | datenschutzeinstellung | alle (?:annehmen|akzeptieren|ablehnen)
         | tout (?:accepter|refuser) | gardons des données | données sur votre appareil
         | (?:aceptar|rechazar) todo | guardamos datos | datos en su dispositivo | your consent choices
@@ -96,7 +96,7 @@ _CUES = {
     """,
     "scripts": r"""
         (?:turn on|enable|allow|activate|switch on) (?:java)?scripts? | (?:java)?skripte? (?:ein|aktivier) | aktivieren sie (?:java)?s[ck]ript
-        | activez (?:java|les )?scripts? | active (?:java|los )?scripts? | (?:java)?scripts? (?:is|are) (?:off|disabled|turned off|required)
+        | activez (?:java|les )?scripts? | active (?:java|los )?scripts? | (?:java)?scripts? (?:is|are) (?:off|disabled|turned off|required) | (?:activer|autoriser|activar|habilitar?|permit[ae]r?) (?:les |los |el )?(?:java)?scripts?
     """,
     "author": r"""
         ^(?:by|von|par|por|text:|words by|written by)\s+[^\W\d_][\w'’.-]*(?:\s+[^\W\d_][\w'’.-]*){1,4}$

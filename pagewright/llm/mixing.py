@@ -10,7 +10,7 @@ are reported.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.tables import bounded_rows, read_table, stage, tune
@@ -93,8 +93,8 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     """For each target source: its target share, its tokens and records, the rate, and the share it really has in the mix."""
     picked, rated = _mixed(spark, base)
     used = picked.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_records"), F.max("copies").alias("most_uses"))
-    total = used.agg(F.sum("mixed_tokens").alias("total"))
-    joined = rated.join(used, "source", "left").crossJoin(F.broadcast(total))  # total is one row
+    total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # over one row a target
+    joined = rated.join(used, "source", "left").withColumn("total", F.coalesce(total, F.lit(0)))
     mixed = F.coalesce("mixed_tokens", F.lit(0))
     return joined.select(
         "source", "target_share", "max_repeats", "source_tokens", "source_records", F.round("rate", 6).alias("rate"), mixed.alias("mixed_tokens"),

@@ -165,11 +165,14 @@ def pack(items: DataFrame, specs: list, partitions: int) -> DataFrame:
     tokens takes no room but is placed.
     """
     valid = [(int(a), int(b)) for a, b in specs if a is not None and b is not None and b > 0]
-    spark = items.sparkSession
-    table = spark.createDataFrame(valid, "spec_id int, capacity_tokens int")
+    if not valid:
+        return items.sparkSession.createDataFrame([], _PACKED)
+    # A handful of capacities (checked), so each item is repeated once for each.
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("spec_id"), F.lit(b).alias("capacity_tokens")) for a, b in valid)))
     pieces = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).cast("int"), F.lit(1))
     cut = (
-        items.crossJoin(F.broadcast(table))  # a handful of capacities (checked), so each item is repeated once for each
+        items.select("doc_id", "n_tokens", "curve", each.alias("spec"))
+        .select("doc_id", "n_tokens", "curve", "spec.*")
         .withColumn("part_no", F.explode(F.sequence(F.lit(1), pieces)))
         .withColumn("start_token", (F.col("part_no") - 1).cast("long") * F.col("capacity_tokens"))
         .withColumn("n_tokens", F.least(F.col("n_tokens") - F.col("start_token"), F.col("capacity_tokens").cast("long")))

@@ -38,7 +38,7 @@ _NOT_PHONE = re.compile(
     r"(?:document|motion|line|clause|bill|paper|report|vote|votes|voted|petition|question|account|titel|haushaltstitel|drucksache|antrag|artikel|paragraf|dokument|document|ligne budgétaire|budgétaire|amendement|documento|moción|partida|ley|enmienda|column|page|no\.|nr\.|n\.º|of the)\s*$",
     re.I,
 )
-_NOT_PHONE_AFTER = re.compile(r"^\s*(?:crowns?|kronen|couronnes|coronas|euros?|million|votes|stimmen|voix|votos|people|households)\b", re.I)
+_NOT_PHONE_AFTER = re.compile(r"^[ \t]*(?:crowns?|kronen|couronnes|coronas|euros?|million|votes|stimmen|voix|votos|people|households)\b", re.I)
 
 _IDS = (
     re.compile(r"[A-Z]{2} \d{2} \d{2} \d{2} \d{3} [A-Z](?![A-Za-z0-9])"),
@@ -68,20 +68,31 @@ ADDRESSES = {
     "fr": re.compile(rf"\d{{1,5}}(?:[ \t](?:bis|ter|quater))?,?[ \t](?:rue|avenue|impasse|boulevard|place|chemin|quai|allée|route|cours|passage|ruelle|sentier|square|faubourg)[ \t][^,\n;:]{{2,50}},[ \t]\d{{5}}[ \t]{_TOWN}", re.I),
     "es": re.compile(rf"(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Ronda|Travesía|Callejón|C/|Avda\.)[ \t][^,\n;:]{{2,50}},[ \t](?:n\.?º?[ \t])?{_NUMBER}(?:,[ \t]\d{{1,2}}\.?[ºª°][ \t]?[A-Za-z]*)?,[ \t]\d{{5}}[ \t]{_TOWN}"),
 }
-_PARTICLE = r"(?:van der|van den|van de|van|von der|von|vom|zu|de la|de las|de los|de|del|du|des|della|di|da|dos|ter|ten|le|la|O'|Mac)"
+_PARTICLES = "van der|van den|van de|van|von der|von|vom|zu|de la|de las|de los|de|del|du|des|della|di|da|dos|ter|ten|le|la"
+_PARTICLE = rf"(?:{_PARTICLES}|{_PARTICLES.upper()})(?!\w)"
 _FAMILY = r"[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*"
 _NAME_REST = re.compile(rf"(?:[ \t][A-ZÀ-Þ]\.)*(?:[ \t]{_PARTICLE})*[ \t]{_FAMILY}")
 _GIVEN = re.compile(r"[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)?")
 _INSTITUTION = re.compile(r"^(?:['’]s)?[ \t](?:Foundation|Hospital|Institute|report|Report|Act|Bill|Prize|Award|School|College|Centre|Center|Trust|Museum|Library|Fund|Society|Bridge|Commission|Committee|inquiry|Inquiry|Stiftung|Fondation|Fundación|Krankenhaus)\b")
 _TITLE_CASE = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ]")
+#: A name cannot begin after these.
+_TOWN_LIKE = re.compile(r"(?:\d |St\. |St )$")
 _LETTER = re.compile(r"\w")
 
 #: Words after which a private person's name stands, whatever the given name.
 NAME_CUES = (
     "My constituent ", "my constituent ", "yours, ", "Yours, ", "Witness: ", "My name is ", "my name is ", "a widow, ", "a widower, ", "I tell ", "sage ich ", "le digo a ", "dirai-je à ", "dire à ",
+    "Behind me sit ", "I see that ", "sitzt heute ", "sitzen heute ", "Ausschuss sagte ", "hat mir ", "la commission, ", "la comisión declaró ", "Dr. ", "Contact: ", "Kontakt: ", "Contacto: ",
     "Zeuge: ", "Zeugin: ", "Témoin : ", "Témoin: ", "Testigo: ", "Mein Name ist ", "Je m'appelle ", "Me llamo ", "tax office wrote to ",
 )
+#: Words that follow a private person's name.
+AFTER_NAME = (", told the committee", " wrote to me about", ", who lives at ", ", wohnhaft ", ", qui habite ", ", con domicilio en ", " m'a écrit", " me escribió", " hat mir geschrieben")
 _CUED_NAME = re.compile(rf"{_GIVEN.pattern}(?:[ \t][A-ZÀ-Þ]\.)*(?:[ \t]{_PARTICLE})*[ \t]{_FAMILY}")
+#: A name right before words that follow one, or before an address or telephone number and what may stand between.
+_NAME_BEFORE = re.compile(rf"(?<![\w.'’-]){_CUED_NAME.pattern}$")
+_BETWEEN = re.compile(r"(?:, | \(| / |: |, (?:tel|Tel|tél)\. | of )$")
+#: Capitalised words that begin a sentence and are no given name.
+_NO_GIVEN = frozenset("the in a an of at on by to from for and but or der die das ein eine im am le la les un une el los las un una this that these mr ms mrs dr madam sir herr frau monsieur madame señor señora clause document motion budget petition case address contact witness reference".split())
 
 STREET_WORDS = (*_EN_TYPES.split("|"), "straße", "Straße", "strasse", "weg ", "gasse ", "platz ", "allee ", "Am ", "An der ", "Im ", "In der ", "Zum ", "Zur ", "rue ", "avenue ", "impasse ", "boulevard ", "place ", "chemin ", "quai ", "allée ", "Rue ", "Avenue ", "Calle ", "Avenida ", "Plaza ", "Paseo ", "Camino ", "Ronda ", "C/", "Box ", "Postfach ", "Apartado ", "BP ", "B.P. ")
 
@@ -113,6 +124,8 @@ class Finder:
             add(name.upper(), "given")
         for cue in NAME_CUES:
             add(cue, "cue")
+        for words in AFTER_NAME:
+            add(words, "after")
         machine.make_automaton()
         self.machine = machine
 
@@ -132,10 +145,18 @@ class Finder:
                     hit = _address(text, start, streets)
                 elif kind == "given":
                     hit = self._name(text, start, end + 1, own)
+                elif kind == "after":
+                    hit = self._before(text, start, own)
                 else:
                     hit = self._cued(text, end + 1, own)
+                    if hit and text.startswith(" and ", hit[1]) and (second := self._cued(text, hit[1] + 5, own)):
+                        found.append(second)
                 if hit:
                     found.append(hit)
+                    if hit[2] in ("address", "phone") and (gap := _BETWEEN.search(text, max(0, hit[0] - 8), hit[0])):
+                        name = self._before(text, gap.start(), own)
+                        if name:
+                            found.append(name)
         return _disjoint(found)
 
     def _name(self, text: str, start: int, end: int, own: str) -> tuple | None:
@@ -148,6 +169,10 @@ class Finder:
         hit = _CUED_NAME.match(text, start)
         return self._valid(text, start, hit.end(), own) if hit else None
 
+    def _before(self, text: str, end: int, own: str) -> tuple | None:
+        hit = _NAME_BEFORE.search(text, max(0, end - 70), end)
+        return self._valid(text, hit.start(), end, own) if hit else None
+
     def _valid(self, text: str, start: int, end: int, own: str) -> tuple | None:
         name = text[start:end]
         for tail in ("'s", "’s"):
@@ -155,9 +180,9 @@ class Finder:
                 end -= len(tail)
                 name = name[: -len(tail)]
         key = _key(name)
-        if key in self.members or key == own or _INSTITUTION.match(text[end : end + 24]):
+        if name.split()[0].lower() in _NO_GIVEN or _TOWN_LIKE.search(text[max(0, start - 4) : start]):
             return None
-        if text[max(0, start - 4) : start].endswith(("St. ", "St ")):
+        if key in self.members or key == own or _INSTITUTION.match(text[end : end + 24]):
             return None
         return start, end, "name"
 
@@ -189,7 +214,6 @@ def _mail(text: str, start: int, word: str) -> tuple | None:
 def _number(text: str, start: int) -> tuple | None:
     """An identity number or telephone number whose first digit is at ``start``."""
     before = text[start - 1] if start else " "
-    begin = start
     letters = start
     while letters > 0 and start - letters < 3 and "A" <= text[letters - 1] <= "Z":
         letters -= 1
@@ -206,18 +230,20 @@ def _number(text: str, start: int) -> tuple | None:
             if _NOT_PHONE.search(context) or _NOT_PHONE_AFTER.match(text[hit.end() : hit.end() + 20]) or first == start and before in "-/.":
                 continue
             return first, hit.end(), "id_number"
-    if before in "+(":
-        begin = start - 1
-    if begin and (_LETTER.match(text[begin - 1]) or text[begin - 1] in "-./") or before in "-./:":
+    for begin in (start - 1, start) if before in "+(" else (start,):
+        if begin and (_LETTER.match(text[begin - 1]) or text[begin - 1] in "-./" or text[begin - 1] == ":" and text[max(0, begin - 2)].isdigit()):
+            continue
+        context = text[max(0, begin - 44) : begin]
+        hit = _PHONE.match(text, begin)
+        if hit:
+            digits = re.sub(r"\D", "", hit.group().replace("(0)", ""))
+            international = hit.group()[0] == "+" or hit.group().startswith("00")
+            fits = 9 <= len(digits) <= 15 if international else 9 <= len(digits) <= 12
+            if fits and not _NOT_PHONE.search(context) and not _NOT_PHONE_AFTER.match(text[hit.end() : hit.end() + 20]):
+                return begin, hit.end(), "phone"
+    if before in "-./:":
         return None
-    context = text[max(0, begin - 44) : begin]
-    hit = _PHONE.match(text, begin)
-    if hit:
-        digits = re.sub(r"\D", "", hit.group().replace("(0)", ""))
-        international = hit.group()[0] == "+" or hit.group().startswith("00")
-        fits = 9 <= len(digits) <= 15 if international else 9 <= len(digits) <= 12
-        if fits and not _NOT_PHONE.search(context) and not _NOT_PHONE_AFTER.match(text[hit.end() : hit.end() + 20]):
-            return begin, hit.end(), "phone"
+    context = text[max(0, start - 44) : start]
     if _ID_CUE.search(context):
         hit = _ID_LOOSE.match(text, letters)
         if hit and 6 <= sum(c.isdigit() for c in hit.group()) <= 14 and not _NOT_PHONE_AFTER.match(text[hit.end() : hit.end() + 20]):

@@ -48,8 +48,8 @@ def place(facts: DataFrame, quantiles: DataFrame) -> DataFrame:
     ``quantiles`` has at most one row per language code, so it is broadcast.
     """
     own = quantiles.where(F.col("base_lang") != "*").select("base_lang", F.struct("pages", *STATISTICS).alias("own"))
-    every = quantiles.where(F.col("base_lang") == "*").select(F.struct("pages", *STATISTICS).alias("every"))
-    joined = facts.join(F.broadcast(own), "base_lang", "left").join(F.broadcast(every), F.lit(True), "left")
+    every = quantiles.where(F.col("base_lang") == "*").select(F.col("base_lang").alias("whole"), F.struct("pages", *STATISTICS).alias("every"))
+    joined = facts.withColumn("whole", F.lit("*")).join(F.broadcast(own), "base_lang", "left").join(F.broadcast(every), "whole", "left")
     q = F.when(F.col("own.pages") >= LEAST_PAGES, F.col("own")).otherwise(F.col("every"))
     joined = joined.withColumn("q", q)
     words, chars = F.greatest(F.col("body_words"), F.lit(1)), F.greatest(F.col("body_chars"), F.lit(1))
@@ -75,7 +75,7 @@ def place(facts: DataFrame, quantiles: DataFrame) -> DataFrame:
     )
     for name in ("common_word_share", "mean_word_length", "symbol_ratio", "punct_line_share"):
         out = out.withColumn(f"pct_{name}", _percentile(F.col(name), F.col("q")[name]))
-    return out.drop("q", "own", "every")
+    return out.drop("q", "own", "every", "whole")
 
 
 def _percentile(value: Column, quantiles: Column) -> Column:
