@@ -20,6 +20,7 @@ from pagewright.dom.tree import Node, body_of, parse
 from pagewright.functions import quality
 from pagewright.functions.text import boilerplate_hits, sentence_count
 from pagewright.functions.urls import url_error
+from pagewright.session import spread
 
 FORMATS = ("text", "markdown", "html")
 WAITS = ("load", "domcontentloaded", "network-idle-like")
@@ -102,7 +103,7 @@ def extract(pages: DataFrame, output_format: str = "text", max_chars: int = 12_0
     early = F.coalesce(url_error(F.col("url")), F.when(elapsed > timeout_ms, F.lit("LOAD_TIMEOUT")))
     inputs = pages.select("page_id", "url", final.alias("final_url"), "html", early.alias("early"))
     refused = inputs.where(F.col("early").isNotNull())
-    loaded = inputs.where(F.col("early").isNull()).withColumn("d", document_stage(output_format, max_chars, strict_parity)("html")).select("page_id", "url", "final_url", "d.*")
+    loaded = spread(inputs.where(F.col("early").isNull())).withColumn("d", document_stage(output_format, max_chars, strict_parity)("html")).select("page_id", "url", "final_url", "d.*")
     text = F.col("text_content")
     failed = F.col("stage_error").isNotNull()
     title = F.coalesce(F.nullif("article_title", F.lit("")), F.col("meta_title"))

@@ -42,3 +42,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and read it from there; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, over all cores before a slow stage: only an input of fewer splits than cores is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(2 * cores)

@@ -93,3 +93,9 @@ def test_settings():
     assert whole("12px", 3) == 12 and whole("px", 3) == 3 and whole(None, 3) == 3
     assert flag("TRUE", False) and flag("1", False) and not flag("yes", True) and flag(None, True)
     assert Settings.load({"MAX_RESULTS": "7", "RESOURCE_BLOCK_FONTS": "no"}) == Settings(max_results=7, resource_block_fonts=False)
+
+
+def test_stems():
+    from pagewright.functions.text import stem
+
+    assert [stem(p) for p in ("all rights", "editor'?s picks?", "a|b", "(x|y)[ ]*page", r"subscribe\s*(now|to\s*(our|the))", r"©\s*\d{4}", "ab+c")] == ["all rights", "editor", "", "page", "subscribe", "©", "ab"]
