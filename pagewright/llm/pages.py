@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pagewright.llm.blocks import BAD, blocks_of, mark_blocks
 from pagewright.llm.residue import features_of, fit_linear, is_residue, windows_of
 from pagewright.llm.stuffing import PROSE, LineModel, body_flags, fit_line_model, is_stuffed, states_of
+from pagewright.session import spread
 from pagewright.llm.tables import bounded_sample, common_words, read_table, tune
 
 #: Rows of the sample that the residue classifier and the line model are fitted on, and the longest text in it.
@@ -180,5 +181,6 @@ def page_facts(spark: SparkSession, base: str, wanted: set, pages: DataFrame | N
     pages = pages.where(F.col("result_id").isNotNull())
     wanted = frozenset(wanted)
     models = train(spark, base, pages, wanted)
-    out = pages.select("result_id", "url", "text_content", page_stage(models, wanted)(*INPUTS).alias("facts"))
+    rows = spread(pages.select("result_id", "url", *INPUTS))
+    out = rows.select("result_id", "url", "text_content", page_stage(models, wanted)(*INPUTS).alias("facts"))
     return out.select("result_id", "url", "text_content", "facts.*")
