@@ -28,7 +28,8 @@ _ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 _PARAGRAPH_WALLS = frozenset(("button", "td", "th", "table", "object", "body", "html", "li", "div", "section", "article", "blockquote", "figure", "form", "aside", "main"))
-DEEPEST = 512
+#: Elements nested deeper stay siblings of the deepest; keeps recursive renderers within Python's stack.
+DEEPEST = 240
 
 
 class Node:

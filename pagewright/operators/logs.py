@@ -52,10 +52,24 @@ def tool_report(logs: DataFrame, timeout_ms: int = 15_000) -> DataFrame:
     )
 
 
+#: Seconds of a bucket in which searches are ordered; a region's day is never gathered in one task.
+BUCKET_S = 3600
+
+
 def search_gaps(results: DataFrame, least_s: int = 2) -> DataFrame:
-    """Searches of a day and region that began less than ``least_s`` seconds after the one before."""
+    """(search_id, region_code, gap_us) of searches that began less than ``least_s`` seconds after the one before of their day and region.
+
+    Searches are compared within buckets of time; those near a bucket's end are shown to the
+    next bucket as well, so that no pair is lost and no group grows with the day.
+    """
+    width = max(BUCKET_S, least_s)
     searches = results.groupBy("search_id").agg(F.min("searched_at").alias("searched_at"), F.min("region_code").alias("region_code"))
-    order = Window.partitionBy(F.to_date("searched_at"), "region_code").orderBy("searched_at", "search_id")
     at = F.unix_micros(F.col("searched_at").cast("timestamp"))
-    gap = at - F.lag(at).over(order)
-    return searches.withColumn("gap_us", gap).where(F.col("gap_us") < least_s * 1_000_000).select("search_id", "region_code", "gap_us")
+    rows = searches.where(F.col("searched_at").isNotNull()).select("search_id", "region_code", at.alias("at"), F.to_date("searched_at").alias("day"))
+    rows = rows.withColumn("bucket", F.floor(F.col("at") / (width * 1_000_000)))
+    near = F.pmod(F.col("at"), F.lit(width * 1_000_000)) >= (width - least_s) * 1_000_000
+    shown = F.when(near, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    both = rows.withColumn("ahead", F.explode(shown)).withColumn("bucket", F.col("bucket") + F.col("ahead"))
+    order = Window.partitionBy("day", "region_code", "bucket").orderBy("at", "search_id")
+    gap = F.col("at") - F.lag("at").over(order)
+    return both.withColumn("gap_us", gap).where((F.col("ahead") == 0) & (F.col("gap_us") < least_s * 1_000_000)).select("search_id", "region_code", "gap_us")

@@ -112,8 +112,10 @@ class TableProvider:
         same = lambda c: F.lower(collapse(c))
         wanted = queries.select("query", same(F.col("query")).alias("key"), clamp_count(F.col("num_results")).alias("n"))
         rows = self.results.withColumn("key", same(F.col("query_text"))).withColumn("url", unwrap_redirect(F.col("url")))
-        latest = F.max(F.struct("searched_at", "search_id")).over(Window.partitionBy("key"))
-        rows = rows.withColumn("last", latest).where("searched_at = last.searched_at and search_id = last.search_id")
+        rows = rows.join(wanted.select("key").distinct(), "key", "left_semi")
+        # The last search of a query is found by aggregation, as one query may hold a large part of all rows.
+        latest = rows.groupBy("key").agg(F.max(F.struct("searched_at", "search_id")).alias("last")).select("key", "last.search_id")
+        rows = rows.join(latest, ["key", "search_id"])
         ranked = shape_results(rows.join(wanted, "key"), ["query"], "rank_no", F.col("n"))
         return ranked.select("query", F.col("result_rank").alias("rank"), "title", "url", "snippet", "source")
 

@@ -26,10 +26,11 @@ def search_and_extract(results: DataFrame, extracted: DataFrame) -> DataFrame:
     """One row a result: what was extracted from its page, or a failed row that keeps the search title.
 
     ``extracted`` has at most one row a canonical URL: url, title, excerpt, content_body,
-    text_content, score, warnings, error_code.
+    text_content or its text_length, score, warnings, error_code.
     """
+    size = F.col("text_length") if "text_length" in extracted.columns else F.length("text_content")
     pages = extracted.select(
-        canonical(F.col("url")).alias("page"), F.col("title").alias("page_title"), "excerpt", F.col("content_body").alias("body"), F.length("text_content").alias("length"),
+        canonical(F.col("url")).alias("page"), F.col("title").alias("page_title"), "excerpt", F.col("content_body").alias("body"), size.alias("length"),
         F.col("score").alias("page_score"), F.col("warnings").alias("page_warnings"), F.col("error_code").alias("page_error"),
     )
     joined = results.withColumn("page", canonical(F.col("url"))).join(pages, "page", "left")

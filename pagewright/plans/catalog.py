@@ -117,14 +117,19 @@ def search_ranks(spark, base):
     return shaped.select("search_id", "result_rank", "rank_no", urls.unwrap_redirect(F.col("url")).alias("target"))
 
 
-def _linked(spark, base) -> tuple[DataFrame, DataFrame]:
-    """Shaped results and the latest extraction of each canonical URL, ready for the tools."""
+def _linked(spark, base, with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Shaped results and the latest extraction of each canonical URL, ready for the tools.
+
+    The latest one is chosen by aggregation with only the columns wanted, so texts are
+    shuffled at most once, and by the key that they are joined on.
+    """
     shaped = search.shape_results(_results(spark, base), ["search_id"], "rank_no", F.lit(5))
     results = shaped.select(F.col("search_id").alias("query"), F.col("result_rank").alias("rank"), "title", urls.unwrap_redirect(F.col("url")).alias("url"), "snippet")
-    fetched = _pages(spark, base)
-    newest = pages.latest_pages(fetched).select("result_id")
-    latest = fetched.join(newest, "result_id", "left_semi").withColumn("error_code", F.lit(None).cast("string"))
-    return results, latest
+    body = F.col("content_body") if with_text else F.lit(None).cast("string")
+    row = F.struct("result_id", "url", "title", "excerpt", body.alias("content_body"), F.length("text_content").alias("text_length"), "score", "warnings")
+    order = F.struct("fetched_at", (-F.col("result_id")).alias("first"))
+    latest = _pages(spark, base).where("url is not null").groupBy(urls.canonical(F.col("url")).alias("page")).agg(F.max_by(row, order).alias("last"))
+    return results, latest.select("last.*").withColumn("error_code", F.lit(None).cast("string"))
 
 
 def open_result_rank(spark, base):
@@ -140,7 +145,7 @@ def fetch_search_extract(spark, base):
 
 
 def fetch_search_documents(spark, base):
-    results, latest = _linked(spark, base)
+    results, latest = _linked(spark, base, with_text=True)
     return tools.nested(results, results, tools.search_and_extract(results, latest))
 
 

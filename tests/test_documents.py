@@ -113,3 +113,9 @@ def test_serp_blocks():
     assert why('<form action="/Sorry"></form>') == "Google CAPTCHA form detected"
     assert why("<p>Unusual   Traffic here</p>") == "Google block/rate-limit signal detected: unusual traffic"
     assert why(SERP) is None
+
+
+def test_deep_pages():
+    for output_format in ("text", "markdown", "html"):
+        assert extract_page("<div>" * 5000 + LONG + "<blockquote><ul><li>" * 500 + "x", output_format, 2000)[-1] is None
+    assert extract_page("<p>" + LONG * 300, "markdown", 1000)[-1] is None
