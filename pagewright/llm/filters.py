@@ -14,6 +14,7 @@ from pagewright.llm.tables import common_words, read_table
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """result_id of each record of residue. Null titles and texts have no windows; an empty table trains nothing and gives no rows."""
     return page_facts(spark, base, {"residue"}).where("residue").select("result_id").distinct()
 
 

@@ -84,7 +84,11 @@ def _mixed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_mix(spark: SparkSession, base: str) -> DataFrame:
-    """One row for each use of a record: doc_id, source, copy_no from 1, n_tokens. Records of other sources are in no mix."""
+    """One row for each use of a record: doc_id, source, copy_no from 1, n_tokens.
+
+    Records of a null source or one without a target are in no mix; a null text has 0 tokens;
+    rows that repeat a doc_id are drawn alike; an empty table gives no rows.
+    """
     picked, _ = _mixed(spark, base)
     return picked.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"), "n_tokens")
 

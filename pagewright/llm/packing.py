@@ -183,6 +183,11 @@ def pack(items: DataFrame, specs: list, partitions: int) -> DataFrame:
 
 
 def p6_pack(spark: SparkSession, base: str) -> DataFrame:
+    """Each piece of each text in a container of each capacity, with its place in text and container.
+
+    Null and empty texts are pieces of 0 tokens; rows without doc_id are left out; rows that
+    repeat a doc_id are packed as they stand; an empty table gives no rows.
+    """
     tune(spark)
     documents = read_table(spark, base, "documents").where(F.col("doc_id").isNotNull())
     items = stage(documents.select("doc_id", sized_stage()("text").alias("s")).select("doc_id", "s.n_tokens", "s.curve"), "p6-items")

@@ -325,6 +325,7 @@ def searched(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """(doc_id, pii_kind, pii_text), distinct. Null and empty texts have none; an empty members' table leaves names to their cues."""
     rows = searched(spark, base).select("doc_id", F.explode("found").alias("f"))
     return rows.select("doc_id", "f.pii_kind", "f.pii_text").distinct()
 

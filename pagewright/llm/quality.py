@@ -99,6 +99,11 @@ def flagged(facts: DataFrame) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    """result_id of each record whose main body is no prose.
+
+    A record without text or with site furniture alone is none; rows that repeat a result_id
+    give it once; a null lang is read from the text; an empty table gives no rows.
+    """
     facts = stage(page_facts(spark, base, {"residue", "stuffed", "stats"}).drop("url", "text_content", "noise_lines"), "p1-facts")
     return flagged(facts).where("not_prose").select("result_id").distinct()
 
