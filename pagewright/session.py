@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local[") or context.master == "local":
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-ckpt-"))
+        folder = tempfile.mkdtemp(prefix="pagewright-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     else:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
