@@ -22,7 +22,7 @@ SHORT, LONG, STOP_LOW, STOP_HIGH, LINKED = 70, 200, 0.18, 0.28, 0.5
 #: Characters of a page's text from which lines are aligned near the last one only.
 LONG_PAGE = 400_000
 
-_TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>", re.S | re.I)
+_TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>", re.S | re.I)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*["']([^"']*)["']""", re.I)
 _NOISE_TOKEN = re.compile(
     r"(?:^|[\s_-])(?:nav|navigation|menu|cookies?|consent|gdpr|promo|promos|share|sharing|social|newsletter|subscribe|signup|sidebar|aside|rail"
@@ -62,6 +62,17 @@ class Block:
     why: str = ""
 
 
+def _uncommented(source: str) -> str:
+    """Markup without comments; one that is never closed stays, as it hides nothing for certain. Linear in the length."""
+    if "<!--" not in source:
+        return source
+    parts, at = [], 0
+    while (start := source.find("<!--", at)) >= 0 and (end := source.find("-->", start + 4)) >= 0:
+        parts.append(source[at:start])
+        at = end + 3
+    return "".join([*parts, source[at:]])
+
+
 class Markup:
     """The text of a page without white space, and for each stretch of it the link and container it lies in."""
 
@@ -74,7 +85,7 @@ class Markup:
         stack: list[list] = []  # [tag, role, box]
         at = last = boxes = 0
         linked = False
-        source = visible(source)
+        source = _uncommented(visible(source))
         for hit in _TAG.finditer(source):
             if hit.start() > last:
                 at = self._add(parts, source[last : hit.start()], at, linked, stack)
