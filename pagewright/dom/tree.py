@@ -52,7 +52,11 @@ class Node:
 
     def remove(self) -> None:
         if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
+            siblings = self.parent.children
+            if siblings and siblings[-1] is self:
+                siblings.pop()
+            else:
+                self.parent.children = [c for c in siblings if c is not self]
             self.parent = None
 
     def walk(self) -> Iterator[Node]:
