@@ -26,9 +26,11 @@ SIGN_WEIGHT = 3.0
 #: At most so many words of the text, without site furniture, count as a thin page.
 THIN_WORDS = 70
 
+#: A form's closing sign may stand at any distance; each form stops at its own opening sign, so a search stays linear.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\{%[^{}\n]{1,60}%\}|[$#]\{[^{}\n]{0,60}\}|<%[^<>\n]{1,60}%>|\[\[[^\[\]\n]{1,60}\]\]|%%\w+(?:[._-]\w+)*%%|(?<![\w%])%[A-Za-z_]{3,40}%(?!\w)"
-    r"|@@\w+(?:[._-]\w+)*@@|\*\|[^|\n]{1,40}\|\*|(?<!\w)__[A-Za-z][A-Za-z_.]{1,40}__(?!\w)|\[(?:INSERT|YOUR|ENTER|ADD)\b[^\]\n]{1,60}\]|(?<![\w{$#])\{[a-z_]+(?:[._][a-z_]+)*\}(?!\})",
+    r"\{\{[^{}]*\}\}|\{%[^{}]+%\}|[$#]\{[^{}]*\}|<%[^<>]+%>|\[\[[^\[\]]+\]\]|%%\w+(?:[.-]\w+)*%%|(?<![\w%])%[A-Za-z_]{3,}%(?!\w)"
+    r"|@@\w+(?:[.-]\w+)*@@|\*\|[^|]+\|\*|(?<!\w)__(?![A-Za-z]__)[A-Za-z]+(?:(?:\.|__?)[A-Za-z]+)*__(?!\w)|\[(?:INSERT|YOUR|ENTER|ADD)\b(?:[^\[\]]++|\[[^\[\]]*\])+\]"
+    r"|(?<![\w{$#^\\])\{[A-Za-z0-9_]+(?:[.-][A-Za-z0-9_]+)*\}(?!\})",
 )
 MISSING = re.compile(r"(?<![\w.\"'`])(?:undefined|null|NaN|None|nil|\[object Object\])(?![\w\"'`(])")
 _STATUS_WORDS = r"not found|forbidden|access denied|unauthori[sz]ed|bad (?:gateway|request)|service (?:temporarily )?unavailable|internal (?:server )?error|gateway timeout|too many requests|gone"
@@ -96,8 +98,9 @@ def windows_of(title: str | None, text: str | None, blocks: list[Block]) -> list
         quoted = before.rstrip()[-1:] in _QUOTES and before[-1:] in _QUOTES or after[:1] in _QUOTES or '"' in before[-14:] and '"' in after[:4]
         path = after[:1] in ("/", "\\") or before[-1:] in ("/", "=")
         talk = bool(_QUOTING.search(fold(before + " " + after)))
-        weak = 0 if talk or quoted or path else 1
-        extra = ("quoted",) * quoted + ("path",) * path + ("talk",) * talk or ("plain",)
+        code = hit.group()[0] == "{" and hit.group()[1] not in "{%" and (before[-1:] in tuple("})]=>") or after[:1] in tuple("{[(=;"))
+        weak = 0 if talk or quoted or path else -1 if code else 1
+        extra = ("quoted",) * quoted + ("path",) * path + ("talk",) * talk + ("code",) * code or ("plain",)
         low = _mask(before[-90:]) + " \x01 " + _mask(after[:90])
         out.append(Window("mark", low, len(low.split()), weak, extra))
     spoken, other, words, prose = [], [], 0, 0
