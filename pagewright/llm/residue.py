@@ -16,13 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pagewright.llm.blocks import Block
+from pagewright.functions.text import stem
+from pagewright.llm.blocks import _WORD, BAD, Block
 from pagewright.llm.lexicon import fold, tidy
 
 #: Size of the hashed feature space.
 DIMENSIONS = 1 << 16
 #: Value of a length, title or setting feature against 1 of an n-gram.
 SIGN_WEIGHT = 3.0
+#: From so many n-grams on, each of a window's weighs less.
+GRAMS = 477
 #: At most so many words of the text, without site furniture, count as a thin page.
 THIN_WORDS = 70
 
@@ -58,6 +61,44 @@ _QUOTING = re.compile(
     r"\b(?:wr[oi]te[sn]?|writing|type[sd]?|typing|call(?:s|ed)|named?|keeps?|path|variable|script|template|engine|syntax|placeholder|(?:on the|black)board|lesson|mail once|opened with|explain(?:s|ed)|example|code|field called|prints?|printed|swaps?|replaces?|typesetters?|printers|filled gaps|layout"
     r"|schrieb|schreibt|tippte|heißt|namens|platzhalter|vorlage|variable|erklärt\w*|beispiel|tafel|écri[tv]\w*|appel(?:le|é)\w*|nomm\w+|gabarit|modèle|exemple|tableau|escrib\w+|llam\w+|plantilla|ejemplo|pizarra)\b"
 )
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern's alternatives at its top level."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+#: A line without any of these pieces holds no phrase; to look for them is far cheaper than the patterns.
+_STEMS = tuple({stem(re.sub(r"\\?\.", "()", x)) for x in _alternatives(_PHRASES.pattern) + _alternatives(_DUMMY.pattern)})
+_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
+
+
+def _is_spoken(low: str) -> bool:
+    return bool(_PHRASES.search(low) and not _COMMENTS.search(low) or _DUMMY.search(low))
+
+
+def _parts(block: Block) -> tuple[list[str], list[str]]:
+    """What of a line speaks in set phrases, and the rest: a short line as a whole, a longer one by its sentences."""
+    low = block.low
+    if not any(s in low for s in _STEMS):
+        return [], [block.text]
+    if len(low) <= 260 and _is_spoken(low) or len(low) <= 500 and _DUMMY.search(low):
+        return [block.text], []
+    if len(low) <= 260:
+        return [], [block.text]
+    spoken, rest = [], []
+    for sentence in _SENTENCES.split(block.text):
+        (spoken if _is_spoken(fold(sentence)) else rest).append(sentence)
+    return spoken, [" ".join(rest)] if spoken and rest else [block.text] if not spoken else []
+
+
 _QUOTES = "\"'“”„«»‘’`"
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\x01|\x02|[{}<>\[\]%$#@|/\"“”„«»:;=_()]")
 
@@ -105,17 +146,15 @@ def windows_of(title: str | None, text: str | None, blocks: list[Block]) -> list
         out.append(Window("mark", low, len(low.split()), weak, extra))
     spoken, other, words, prose = [], [], 0, 0
     for block in blocks:
-        line, low = block.text, block.low
-        if len(low) <= 500 and (len(low) <= 260 and _PHRASES.search(low) and not _COMMENTS.search(low) or _DUMMY.search(low)):
-            spoken.append(line)
-            continue
-        if block.cue:
+        said, rest = _parts(block)
+        spoken += said
+        if not rest or block.cue or block.mark == BAD and block.why in ("menu", "container") and sum(w in _FILLER for w in block.words) < 2:
             continue
-        count = len(block.words)
+        line = rest[0]
+        count = len(_WORD.findall(line)) if said else len(block.words)
         words += count
         prose += count if count >= 22 or count >= 12 and line.rstrip("\"'»”“’)")[-1:] in ".!…" else 0
-        if len(other) < 12:
-            other.append(line)
+        other.append(line)
     missing = MISSING.findall(text) if ("undefined" in text or "null" in text or "NaN" in text or "None" in text or "[object" in text or "nil" in text) else []
     if missing:
         for raw in text.split("\n"):
@@ -129,12 +168,14 @@ def windows_of(title: str | None, text: str | None, blocks: list[Block]) -> list
             word = len(values) == 1 and values[0] in ("None", "null", "nil") and share < 0.08
             weak = 0 if code or talk or word else 1 if share >= 0.08 or len(values) >= 2 else -1
             out.append(Window("missing", low, len(low.split()), weak, (("code",) * code + ("talk",) * talk + ("word",) * word or ("plain",)) + ("dense",) * (share >= 0.15)))
+    if not spoken and not other:
+        other = [b.text for b in blocks if not b.cue]  # nothing but what looks like site furniture
     tokens = re.findall(r"[^\W\d_]+", fold(" ".join(other)))
     filler = sum(t in _FILLER for t in tokens) / len(tokens) if tokens else 0.0
     sentences = [x for x in re.split(r"[.!?]\s+|\n", "\n".join(spoken + other).rstrip(".!?")) if x]
     again = len(sentences) >= 4 and len(set(sentences)) <= 0.6 * len(sentences)
     if blocks and (spoken or words <= THIN_WORDS or filler >= 0.08 or again):
-        low = _mask(" ".join(spoken)[:800] + " \n " + " ".join(other)[:600])
+        low = _mask(" ".join(spoken) + " \n " + " ".join(other))
         dummy = bool(_DUMMY.search(low))
         size = "tiny" if prose <= 12 else "small" if prose <= 45 else "thin" if prose <= THIN_WORDS else "full"
         if filler >= 0.12 or (spoken or dummy) and prose <= 45:
@@ -159,7 +200,7 @@ def windows_of(title: str | None, text: str | None, blocks: list[Block]) -> list
 
 def features_of(window: Window) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a window and their values, of length 1: word 1- to 3-grams, and with more weight length and title features."""
-    tokens = _TOKEN.findall(window.text)[:160]
+    tokens = _TOKEN.findall(window.text)
     tokens = ["0" if t.isdigit() and len(t) != 3 else t for t in tokens]
     space = window.kind[0]
     names = [f"{space}!{x}" for x in window.extra]
@@ -171,6 +212,8 @@ def features_of(window: Window) -> tuple[np.ndarray, np.ndarray]:
     at = np.fromiter((zlib.crc32(x.encode()) & (DIMENSIONS - 1) for x in names), np.int64, len(names))
     values = np.ones(len(names))
     values[:heavy] = SIGN_WEIGHT
+    if len(names) - heavy > GRAMS:  # n-grams of a long window together weigh no more than so many, or its signs would not count
+        values[heavy:] = np.sqrt(GRAMS / (len(names) - heavy))
     at, first = np.unique(at, return_index=True)
     values = values[first]
     return at, values / np.sqrt((values * values).sum())

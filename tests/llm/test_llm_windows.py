@@ -33,3 +33,28 @@ def test_marks_never_closed_cost_linear_time(piece):
     began = time.time()
     assert list(placeholders(piece * 30_000)) == [] or piece == "*|"
     assert time.time() - began < 5
+
+
+LOREM = "Donec ornare fringilla nunc, vela vitae morbi sodales amet, sed sagittis urna tempor incididunt labore et dolore magna aliqua."
+
+
+def test_filler_below_a_long_menu():
+    menu = [f"Topic {a}{b}" for a in "abcdef" for b in "uvwxyz"]
+    for head in (menu, [f"The {x} stands for itself as a line of its own, once" for x in menu[:14]]):
+        (page,) = windows("\n".join([*head, *[f"{LOREM} Vestibulum {k}." for k in range(30)]]), "page")
+        assert page.weak == 1 and int(page.extra[-1][6:]) >= 2
+        assert page.text.count("donec") == 30
+    assert "topic au" not in windows("\n".join([*menu, LOREM * 2]), "page")[0].text
+
+
+def test_repetition_after_many_lines():
+    lines = [f"The old boat number {k} came home late and the village slept well that night." for k in range(14)]
+    (page,) = windows("\n".join(lines + ["The same words of the template stand here again and again for the reader."] * 30), "page")
+    assert "again" in page.extra
+
+
+def test_phrases_in_long_lines():
+    line = "We are sorry for this and hope that you will bear with us for some more minutes, as all of us here do what we can about it. " * 3 + "Please enable JavaScript to continue to the page."
+    (page,) = windows(line, "page")
+    assert "spoken" in page.extra and page.words < 90 and len(line) > 400
+    assert "dummy" in windows("The boat came home at last and the children of the village ran down. " * 9 + "Replace this text with yours.", "page")[0].extra
