@@ -24,6 +24,8 @@ from pagewright.llm.lexicon import fold, tidy
 DIMENSIONS = 1 << 16
 #: Value of a length, title or setting feature against 1 of an n-gram.
 SIGN_WEIGHT = 3.0
+#: Characters before and after a missing value that show its setting.
+AROUND = 200
 #: From so many n-grams on, each of a window's weighs less.
 GRAMS = 477
 #: At most so many words of the text, without site furniture, count as a thin page.
@@ -128,6 +130,24 @@ def _mask(text: str) -> str:
     return fold(MISSING.sub("\x02", PLACEHOLDER.sub("\x01", text)))
 
 
+def _around(raw: str):
+    """The stretches of a line around its missing values, and the values in each; stretches that meet are one."""
+    start = stop = 0
+    values: list[str] = []
+    for hit in MISSING.finditer(raw):
+        if values and hit.start() - AROUND > stop:
+            yield raw[start:stop], values
+            values = []
+        if not values:
+            start = max(hit.start() - AROUND, 0)
+            start = raw.find(" ", start, hit.start()) + 1 or start if start else 0
+        stop = hit.end() + AROUND
+        stop = len(raw) if stop >= len(raw) else max(raw.rfind(" ", hit.end(), stop), hit.end())
+        values.append(hit.group())
+    if values:
+        yield raw[start:stop], values
+
+
 def windows_of(title: str | None, text: str | None, blocks: list[Block]) -> list[Window]:
     """The evidence windows of one record; ``blocks`` are the lines of ``text``."""
     out: list[Window] = []
@@ -158,16 +178,14 @@ def windows_of(title: str | None, text: str | None, blocks: list[Block]) -> list
     missing = MISSING.findall(text) if ("undefined" in text or "null" in text or "NaN" in text or "None" in text or "[object" in text or "nil" in text) else []
     if missing:
         for raw in text.split("\n"):
-            values = MISSING.findall(raw)
-            if not values:
-                continue
-            low = _mask(tidy(raw)[:400])
-            code = any(c in raw for c in "{};=(|") and "[object" not in raw
-            talk = bool(_QUOTING.search(low))
-            share = len(values) / max(1, len(raw.split()))
-            word = len(values) == 1 and values[0] in ("None", "null", "nil") and share < 0.08
-            weak = 0 if code or talk or word else 1 if share >= 0.08 or len(values) >= 2 else -1
-            out.append(Window("missing", low, len(low.split()), weak, (("code",) * code + ("talk",) * talk + ("word",) * word or ("plain",)) + ("dense",) * (share >= 0.15)))
+            for near, values in _around(raw):
+                low = _mask(tidy(near))
+                code = any(c in near for c in "{};=(|") and "[object" not in near
+                talk = bool(_QUOTING.search(low))
+                share = len(values) / max(1, len(near.split()))
+                word = len(values) == 1 and values[0] in ("None", "null", "nil") and share < 0.08
+                weak = 0 if code or talk or word else 1 if share >= 0.08 or len(values) >= 2 else -1
+                out.append(Window("missing", low, len(low.split()), weak, (("code",) * code + ("talk",) * talk + ("word",) * word or ("plain",)) + ("dense",) * (share >= 0.15)))
     if not spoken and not other:
         other = [b.text for b in blocks if not b.cue]  # nothing but what looks like site furniture
     tokens = re.findall(r"[^\W\d_]+", fold(" ".join(other)))

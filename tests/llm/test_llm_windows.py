@@ -58,3 +58,26 @@ def test_phrases_in_long_lines():
     (page,) = windows(line, "page")
     assert "spoken" in page.extra and page.words < 90 and len(line) > 400
     assert "dummy" in windows("The boat came home at last and the children of the village ran down. " * 9 + "Replace this text with yours.", "page")[0].extra
+
+
+FILL = "The boats came home late and the whole village slept well after the long night at sea. "
+
+
+@pytest.mark.parametrize("before", [0, 1, 5, 60])
+@pytest.mark.parametrize("value", ["undefined", "NaN", "[object Object]"])
+def test_missing_values_anywhere_in_a_long_line(before, value):
+    (found,) = windows(FILL * before + f"Posted by {value} on {value}. " + FILL * 20, "missing")
+    assert found.text.count("\x02") == 2 and found.weak == 1 and found.words < 120
+
+
+def test_setting_of_a_missing_value_is_read_beside_it():
+    quoting = "In the lesson on the script she explained the syntax of the placeholder. "
+    far, near = windows(quoting + FILL * 9 + "Posted by undefined on undefined. " + FILL * 9 + quoting + "It says undefined here.", "missing")
+    assert far.weak == 1 and "talk" not in far.extra and near.weak == 0 and "talk" in near.extra
+    assert [w.text.count("\x02") for w in windows("undefined " * 3000, "missing")] == [3000]
+
+
+def test_all_tokens_of_a_window_count():
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "bdfgklm"]
+    some, all_ = (features_of(windows("JavaScript is disabled. " + " ".join(words[:n]), "page")[0]) for n in (180, 245))
+    assert len(all_[0]) > len(some[0]) + 150 and abs((all_[1] ** 2).sum() - 1) < 1e-9
