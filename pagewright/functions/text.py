@@ -57,9 +57,10 @@ def normalize_lines(text: Column) -> Column:
     return trim_white(lines)
 
 
-def normalize_text(text: Column, limit: int, compose: bool = True) -> Column:
-    """NFKC, normalised lines, truncation at a word. ``compose=False`` skips NFKC where texts are known to be composed, and with it Python."""
-    return truncate_words(normalize_lines(nfkc(text) if compose else text), limit)
+def normalize_text(text: Column, limit: int | None, compose: bool = True) -> Column:
+    """NFKC, normalised lines, truncation at a word unless ``limit`` is None. ``compose=False`` skips NFKC where texts are known to be composed, and with it Python."""
+    lines = normalize_lines(nfkc(text) if compose else text)
+    return lines if limit is None else truncate_words(lines, limit)
 
 
 def sentence_count(text: Column) -> Column:

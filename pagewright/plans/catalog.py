@@ -108,6 +108,11 @@ def normalize_docs(spark, base):
     return read_table(spark, base, "documents").select("doc_id", text.normalize_text(F.col("text"), 400, compose=False).alias("short_text"))
 
 
+def normalize_texts(spark, base):
+    """The whole operator over whole texts: NFKC, normalised lines, nothing cut. Without SQL, as DuckDB has no NFKC; `normalize_docs` is the prefix that its SQL asks for."""
+    return read_table(spark, base, "documents").select("doc_id", text.normalize_text(F.col("text"), None).alias("normal_text"))
+
+
 def search_corpus_topk(spark, base):
     return search.corpus_search(read_table(spark, base, "documents"), list(TERMS), TOP)
 
@@ -256,7 +261,7 @@ def health(spark, base):
 
 _ALL = (
     page_quality, url_policy, strip_tracking, canonical_dedupe, unwrap_redirect, domain_counts, search_urls, page_titles, page_link_density, label_histogram, recorded_scores, doc_quality,
-    boilerplate_hits, noise_hits, noise_context, paragraph_stats, text_sample, short_hash, normalize_docs, search_corpus_topk, search_ranks, open_result_rank, fetch_search_extract,
+    boilerplate_hits, noise_hits, noise_context, paragraph_stats, text_sample, short_hash, normalize_docs, normalize_texts, search_corpus_topk, search_ranks, open_result_rank, fetch_search_extract,
     fetch_search_documents, failed_extractions, tier_audit, latest_audits, audit_rollup, log_levels, log_requests, tool_report, error_messages, search_gaps, settle_requests, extract_text,
     extract_markdown, extract_html, extract_json, serp_roundtrip, serp_blocks, health,
 )

@@ -1,0 +1,39 @@
+"""Queries that must treat whole texts, against a plain computation of the operator."""
+
+import re
+import unicodedata
+
+from pyspark.sql import functions as F
+
+from pagewright.functions import text
+from pagewright.plans import catalog
+
+#: White space as browsers see it, without line ends.
+SPACE = "\\t\\x0b\\f \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+TEXTS = ["\ufb01 \u00bd", "N\u00ba 5 of the  session\n\n\n\n  and\u3000wide \t spaces \n", "word " * 3000 + "\uff45\uff4e\uff44", "", None, " \n ", "\u00e9t\u00e9 \u2460\r\nnext\u2003one", "x" * 900 + " \u2116" + "7"]
+
+
+def plain(t):
+    """NFKC, runs of white space but line feeds as one space, at most one empty line, lines and text trimmed."""
+    if t is None:
+        return None
+    t = re.sub(rf"[{SPACE}]+", " ", unicodedata.normalize("NFKC", t))
+    trim = lambda x: re.sub(rf"^[{SPACE}\r\n]+|[{SPACE}\r\n]+\Z", "", x)
+    return trim("\n".join(map(trim, re.sub(r"\n{3,}", "\n\n", t).split("\n"))))
+
+
+def documents(spark, folder):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_normalize_texts(spark, tmp_path):
+    got = dict(map(tuple, catalog.normalize_texts(spark, documents(spark, tmp_path)).collect()))
+    assert got == {k: plain(t) for k, t in enumerate(TEXTS)}
+    assert got[0] == "fi 1⁄2" and got[2].endswith("word end") and len(got[2]) > 15_000 and got[7].endswith("No7")
+
+
+def test_truncation_on_its_own(spark):
+    cut = lambda t, n: spark.range(1).select(text.truncate_words(F.lit(t), n)).first()[0]
+    assert cut("one two three", 13) == "one two three" and cut("one two three", 9) == "one two" and cut("one two three", 7) == "one two"
+    assert cut("unbroken", 4) == "" and cut("one", 0) == ""
