@@ -17,6 +17,8 @@ from pagewright.sources.tables import read_table
 #: Words of the corpus search query.
 TERMS = ("harbour", "pensions", "railway")
 TOP = 10
+#: The longest extraction allowed, so that content, scores and labels come from whole texts.
+MOST_CHARS = 100_000
 
 
 def _pages(spark: SparkSession, base: str) -> DataFrame:
@@ -215,15 +217,15 @@ def extract_text(spark, base):
 
 
 def extract_markdown(spark, base):
-    return extract(_as_pages(spark, base), output_format="markdown", max_chars=8000).select("page_id", "content_body", "score", "error_code")
+    return extract(_as_pages(spark, base), output_format="markdown", max_chars=MOST_CHARS).select("page_id", "content_body", "score", "error_code")
 
 
 def extract_html(spark, base):
-    return extract(_as_pages(spark, base), output_format="html", max_chars=8000).select("page_id", "content_body", "score", "error_code")
+    return extract(_as_pages(spark, base), output_format="html", max_chars=MOST_CHARS).select("page_id", "content_body", "score", "error_code")
 
 
 def extract_json(spark, base):
-    return tools.record_json(extract(_as_pages(spark, base), max_chars=1000))
+    return tools.record_json(extract(_as_pages(spark, base), max_chars=MOST_CHARS))
 
 
 def _card(title: Column, url: Column, display: Column, snippet: Column, ad: Column) -> Column:
