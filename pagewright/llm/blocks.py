@@ -32,10 +32,18 @@ _NOISE_TOKEN = re.compile(
 _MAIN_TOKEN = re.compile(r"(?:^|[\s_-])(?:article|main|article-body|story-body|entry-content|post-content|prose)(?=$|[\s_-])", re.I)
 _NOISE_TAGS = {"nav", "aside", "footer", "form", "small", "button", "noscript"}
 _MAIN_TAGS = {"article", "main"}
-_BLOCK_TAGS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "table", "ul", "ol", "div", "section", "blockquote", "pre", "br", "dd", "dt", "small"} | _NOISE_TAGS | _MAIN_TAGS
+_BLOCK_TAGS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "table", "ul", "ol", "div", "section", "blockquote", "pre", "br", "dl", "dd", "dt", "small"} | _NOISE_TAGS | _MAIN_TAGS
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _VOID = {"br", "hr", "img", "input", "meta", "link"}
 _IMPLIED_END = {"p", "li"} | _HEADINGS
+#: Tags whose start ends an open element of the second set, unless one of the third was opened in between.
+_ENDS = {
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "dt": (("dt", "dd"), ("dl", "table", "tr", "td", "th", "ul", "ol", "section", "blockquote", *sorted((_NOISE_TAGS | _MAIN_TAGS) - {"small", "button", "noscript"}))),
+}
+_ENDS["dd"] = _ENDS["dt"]
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SENTENCE_END = re.compile(r"[.!?…][\"'»“”’)\]]*$")
@@ -83,6 +91,12 @@ class Markup:
         self.starts: list[int] = []
         self.info: list[tuple] = []
         stack: list[list] = []  # [tag, role, box]
+        places: dict[str, list[int]] = {t: [] for t in _BLOCK_TAGS}  # where in the stack each tag is open
+
+        def close(depth: int) -> None:
+            while len(stack) > depth:
+                places[stack.pop()[0]].pop()
+
         at = last = boxes = 0
         linked = False
         source = _uncommented(visible(source))
@@ -101,13 +115,17 @@ class Markup:
                 continue
             linked = False
             if hit.group(2):
-                for k in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if places[tag]:
+                    close(places[tag][-1])
                 continue
             while stack and stack[-1][0] in _IMPLIED_END:
-                stack.pop()
+                close(len(stack) - 1)
+            if tag in _ENDS:
+                ended, kept = _ENDS[tag]
+                least = max((places[t][-1] for t in kept if places[t]), default=-1)
+                first = [k for t in ended for k in places[t][-1:] if k > least]
+                if first:
+                    close(min(first))
             if tag in _VOID:
                 continue
             inherited = stack[-1][1] if stack else 0
@@ -123,6 +141,7 @@ class Markup:
             if tag in ("div", "section", "article", "main", "nav", "aside", "footer"):
                 boxes += 1
                 box = boxes
+            places[tag].append(len(stack))
             stack.append([tag, role or inherited, box])
         if last < len(source):
             self._add(parts, source[last:], at, linked, stack)
