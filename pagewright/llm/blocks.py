@@ -13,14 +13,16 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
+import numpy as np
+
 from pagewright.llm.lexicon import ANY_CUE, CUE_MAX_LINE as CUE_MAX, READER_HANDLE, fold, tidy, visible
 
 GOOD, BAD, OPEN, HEAD, ITEM = 1, -1, 0, 2, 3
 #: Block rules: characters below which a block is short, above which it is long; stop-word densities; link density.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKED = 70, 200, 0.18, 0.28, 0.5
 
-#: Characters of a page's text from which lines are aligned near the last one only.
-LONG_PAGE = 400_000
+#: A page is searched as plain text for so many times its length in all, then by an index with the same answers.
+SCANS = 64
 
 _TAG = re.compile(r"<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>", re.S | re.I)
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*["']([^"']*)["']""", re.I)
@@ -81,10 +83,51 @@ def _uncommented(source: str) -> str:
     return "".join([*parts, source[at:]])
 
 
+class Places:
+    """Where pieces stand in a text, by hashes of stretches of 1, 2, 4, ... characters: a piece is a head and a tail of such a length."""
+
+    def __init__(self, text: str):
+        self.levels = [self._codes(text)]
+        self.orders: dict[int, np.ndarray] = {}
+        self.known: dict[str, np.ndarray] = {}
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+    @staticmethod
+    def _double(level: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of stretches twice as long."""
+        mixed = level[: -(1 << k)] * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
+        mixed ^= mixed >> np.uint64(29)
+        return mixed * np.uint64(0xBF58476D1CE4E5B9) + level[1 << k :]
+
+    def of(self, piece: str) -> np.ndarray:
+        """The positions of a piece, ascending; each distinct piece is looked up once."""
+        if piece not in self.known:
+            self.known[piece] = self._look(piece)
+        return self.known[piece]
+
+    def _look(self, piece: str) -> np.ndarray:
+        k = len(piece).bit_length() - 1
+        while len(self.levels) <= k:
+            self.levels.append(self._double(self.levels[-1], len(self.levels) - 1))
+        level, own = self.levels[k], self._codes(piece)
+        for j in range(k):
+            own = self._double(own, j)
+        if k not in self.orders:
+            self.orders[k] = np.argsort(level, kind="stable")
+        order = self.orders[k]
+        at = order[np.searchsorted(level, own[0], "left", order) : np.searchsorted(level, own[0], "right", order)]
+        tail = len(piece) - (1 << k)
+        at = at[at + tail < len(level)]
+        return at[level[at + tail] == own[-1]]
+
+
 class Markup:
     """The text of a page without white space, and for each stretch of it the link and container it lies in."""
 
-    __slots__ = ("text", "starts", "info")
+    __slots__ = ("text", "starts", "info", "left", "places")
 
     def __init__(self, source: str):
         parts: list[str] = []
@@ -146,6 +189,8 @@ class Markup:
         if last < len(source):
             self._add(parts, source[last:], at, linked, stack)
         self.text = "".join(parts)
+        self.left = SCANS * len(self.text)
+        self.places: Places | None = None
 
     def _add(self, parts: list, raw: str, at: int, linked: bool, stack: list) -> int:
         piece = "".join((visible(_html.unescape(raw)) if "&" in raw else raw).split())
@@ -158,12 +203,24 @@ class Markup:
         return at
 
     def find(self, piece: str, cursor: int) -> int:
-        """Where ``piece`` stands, at or after ``cursor`` if it does. On very long pages only near the cursor, as text and
-        markup run in the same order and each search from the start would cost the page's length."""
-        if len(self.text) > LONG_PAGE:
-            return self.text.find(piece, max(0, cursor - LONG_PAGE // 4), cursor + len(piece) + LONG_PAGE // 2)
-        at = self.text.find(piece, cursor)
-        return at if at >= 0 else self.text.find(piece)
+        """Where ``piece`` stands, at or after ``cursor`` if it does, else anywhere; -1 if nowhere."""
+        if self.left > 0:
+            at = self.text.find(piece, cursor)
+            self.left -= (at if at >= 0 else len(self.text)) - cursor
+            if at < 0:
+                at = self.text.find(piece)
+                self.left -= at if at >= 0 else len(self.text)
+            return at
+        if len(piece) > len(self.text):
+            return -1
+        if self.places is None:
+            self.places = Places(self.text)
+        known = self.places.of(piece)
+        first = int(np.searchsorted(known, cursor))
+        for k in (*range(first, len(known)), *range(first)):
+            if self.text.startswith(piece, int(known[k])):  # but for a clash of hashes the first does
+                return int(known[k])
+        return -1
 
     def describe(self, at: int, length: int) -> tuple[float, int, str, int]:
         """Link share, role, tag and container of ``length`` characters from ``at``."""

@@ -36,3 +36,30 @@ def test_open_elements_cost_linear_time():
     began = time.time()
     Markup("<div>" * 60_000 + "</p></section>" * 60_000 + "x")
     assert time.time() - began < 8
+
+
+def test_lines_beyond_a_long_stretch_of_other_text():
+    embedded = "".join(f"<li>comment {k} by a reader of the paper</li>" for k in range(20_000))
+    text = f"{PROSE} First.\n{PROSE} Second.\nMore boats"
+    for between in ("<li>comment</li>", embedded):
+        source = f"<main><p>{PROSE} First.</p></main><ul>{between}</ul><main><p>{PROSE} Second.</p></main><nav><a href='#'>More boats</a></nav>"
+        assert [(b.role, b.tag, b.link) for b in blocks_of(text, source, STOP)] == [(1, "p", 0), (1, "p", 0), (-1, "nav", 1)]
+
+
+def test_index_gives_the_answers_of_a_plain_search():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abé😀") for _ in range(3000))
+    plain, indexed = Markup(f"<p>{text}"), Markup(f"<p>{text}")
+    for _ in range(3000):
+        size, at = rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 31, 64, 200, 2999, 3000]), rng.randrange(3000)
+        piece, cursor = text[at : at + size] if rng.random() < 0.8 else text[at : at + size] + "b", rng.randrange(3001)
+        plain.left, indexed.left = 1, 0
+        assert plain.find(piece, cursor) == indexed.find(piece, cursor)
+    assert indexed.find("z", 0) == -1 == indexed.find("a" * 4000, 5)
+
+
+def test_many_lines_that_stand_nowhere_cost_linear_time():
+    source = "".join(f"<p>A line of markup number {k} is here to be read" for k in range(40_000))
+    began = time.time()
+    blocks = blocks_of("\n".join(f"A line of markup number {k} is not to be found" for k in range(40_000)), source, STOP)
+    assert {b.tag for b in blocks} == {""} and time.time() - began < 60
