@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pagewright.llm.lexicon import ANY_CUE, CUE_MAX_LINE as CUE_MAX, READER_HANDLE, fold, tidy, visible
+from pagewright.llm.lexicon import ANY_CUE, CUE_MAX_LINE as CUE_MAX, CUE_NEAR, LONG_KINDS, LONG_STEMS, OWN_VOICE, READER_HANDLE, fold, tidy, visible
 
 GOOD, BAD, OPEN, HEAD, ITEM = 1, -1, 0, 2, 3
 #: Block rules: characters below which a block is short, above which it is long; stop-word densities; link density.
@@ -235,6 +235,19 @@ class Markup:
         return in_link / length, role, tag, box
 
 
+def long_cue(low: str, stop: float) -> re.Match | None:
+    """The cue that decides a long line: at its very start; or near it, in a line of few common words, of a site speaking of itself, or of two cues."""
+    cue = ANY_CUE.match(low)
+    if cue and cue.lastgroup not in ("author", "comments"):
+        return cue
+    if not any(s in low for s in LONG_STEMS):
+        return None
+    cue = ANY_CUE.search(low, 1, CUE_NEAR + 80)
+    if cue is None or cue.start() > CUE_NEAR or cue.lastgroup not in LONG_KINDS:
+        return None
+    return cue if stop < STOP_LOW or OWN_VOICE.search(low, 0, cue.start()) or ANY_CUE.search(low, cue.end()) else None
+
+
 def blocks_of(text: str | None, markup: str | None, stopwords: frozenset) -> list[Block]:
     """The non-empty lines of ``text`` with their features."""
     out: list[Block] = []
@@ -256,7 +269,7 @@ def blocks_of(text: str | None, markup: str | None, stopwords: frozenset) -> lis
             if at >= 0:
                 link, role, tag, box = page.describe(at, len(piece))
                 cursor = at + len(piece)
-        cue = ANY_CUE.search(low) if len(low) <= CUE_MAX else None
+        cue = ANY_CUE.search(low) if len(low) <= CUE_MAX else long_cue(low, stop) if role <= 0 else None
         kind = cue.lastgroup if cue else "comments" if READER_HANDLE.match(low) else None
         out.append(Block(number, line, low, words, stop, link, role, tag, box, kind))
     return out

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from pagewright.functions.text import stem
+
 #: Characters that readers do not see: zero-width signs, soft hyphen, byte order mark.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
@@ -117,8 +119,35 @@ ANY_CUE = re.compile("|".join(f"(?P<{kind}>{_one_line(pattern)})" for kind, patt
 
 #: A reader's handle with digits, a place or date, a colon, then the comment, however long.
 READER_HANDLE = re.compile(r"^[\w.-]*[^\W\d_]\d{1,4} ?[·|•,-] ?[^:.!?]{2,40}: ?\S")
-#: A cue decides only lines up to so many characters; in a longer line it is part of the piece.
+#: A cue decides lines up to so many characters alone; in a longer line its place and the common words count too.
 CUE_MAX_LINE = 190
+#: A cue of a long line counts up to so many characters from its start.
+CUE_NEAR = 90
+#: Kinds of cues that long lines of site furniture have beyond their start.
+LONG_KINDS = ("consent", "subscribe", "legal", "scripts")
+#: A site that speaks of itself or to its reader.
+OWN_VOICE = re.compile(r"\b(?:we|our|you|your|(?:this|the) (?:web)?site|wir|uns(?:ere?)?|sie|diese (?:web)?seite|nous|nos|notre|vous|votre|ce site|este sitio|nuestr[ao]s?|usamos|utilizamos|usted|su)\b")
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern's alternatives at its top level."""
+    out, depth = [""], 0
+    for c in pattern:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def stems_of(*patterns: str) -> tuple[str, ...]:
+    """Pieces of plain text of which every match of one of the patterns holds one."""
+    return tuple(sorted({stem(re.sub(r"\\?\.", "()", x)) for p in patterns for x in _alternatives(p)}))
+
+
+#: Stems of the cues that may stand beyond a line's start.
+LONG_STEMS = stems_of(*("|".join(x for x in _alternatives(_one_line(_CUES[kind])) if not x.startswith("^")) for kind in LONG_KINDS))
 
 
 def cue_of(line: str) -> str | None:

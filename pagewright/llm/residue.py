@@ -16,9 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pagewright.functions.text import stem
 from pagewright.llm.blocks import _WORD, BAD, Block
-from pagewright.llm.lexicon import fold, tidy
+from pagewright.llm.lexicon import CUE_MAX_LINE, fold, stems_of, tidy
 
 #: Size of the hashed feature space.
 DIMENSIONS = 1 << 16
@@ -63,22 +62,8 @@ _QUOTING = re.compile(
     r"\b(?:wr[oi]te[sn]?|writing|type[sd]?|typing|call(?:s|ed)|named?|keeps?|path|variable|script|template|engine|syntax|placeholder|(?:on the|black)board|lesson|mail once|opened with|explain(?:s|ed)|example|code|field called|prints?|printed|swaps?|replaces?|typesetters?|printers|filled gaps|layout"
     r"|schrieb|schreibt|tippte|heißt|namens|platzhalter|vorlage|variable|erklärt\w*|beispiel|tafel|écri[tv]\w*|appel(?:le|é)\w*|nomm\w+|gabarit|modèle|exemple|tableau|escrib\w+|llam\w+|plantilla|ejemplo|pizarra)\b"
 )
-
-
-def _alternatives(pattern: str) -> list[str]:
-    """A pattern's alternatives at its top level."""
-    out, depth = [""], 0
-    for c in pattern:
-        depth += (c in "([") - (c in ")]")
-        if c == "|" and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
-
-
 #: A line without any of these pieces holds no phrase; to look for them is far cheaper than the patterns.
-_STEMS = tuple({stem(re.sub(r"\\?\.", "()", x)) for x in _alternatives(_PHRASES.pattern) + _alternatives(_DUMMY.pattern)})
+_STEMS = stems_of(_PHRASES.pattern, _DUMMY.pattern)
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -168,7 +153,7 @@ def windows_of(title: str | None, text: str | None, blocks: list[Block]) -> list
     for block in blocks:
         said, rest = _parts(block)
         spoken += said
-        if not rest or block.cue or block.mark == BAD and block.why in ("menu", "container") and sum(w in _FILLER for w in block.words) < 2:
+        if not rest or block.cue and len(block.low) <= CUE_MAX_LINE or block.mark == BAD and block.why in ("menu", "container") and sum(w in _FILLER for w in block.words) < 2:
             continue
         line = rest[0]
         count = len(_WORD.findall(line)) if said else len(block.words)

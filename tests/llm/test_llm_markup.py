@@ -63,3 +63,27 @@ def test_many_lines_that_stand_nowhere_cost_linear_time():
     began = time.time()
     blocks = blocks_of("\n".join(f"A line of markup number {k} is not to be found" for k in range(40_000)), source, STOP)
     assert {b.tag for b in blocks} == {""} and time.time() - began < 60
+
+
+NOTICES = [
+    "We use cookies and similar means to learn how the pages of this paper are read and to show what fits, and by going on you agree to this, which you can change at any time in the settings that stand at the foot of the page.",
+    "The Daily Quay is a trading name of Harbour Papers, which is registered under number 4711 in the list of the county; all rights reserved, and no part of it may be copied, kept or sent on without leave given in writing by the owner.",
+    "© 2021 Harbour Papers. The pieces on these pages are the work of those who are named above them, and the paper and its owners are not bound by what is said in them, nor by what is said on pages that they may point to in any way.",
+]
+
+
+@pytest.mark.parametrize("notice", NOTICES)
+@pytest.mark.parametrize("markup", [False, True])
+def test_cues_of_long_lines(notice, markup):
+    assert len(notice) > 200
+    lines = [PROSE, notice, PROSE]
+    blocks = blocks_of("\n\n".join(lines), "".join(f"<div>{x}</div>" for x in lines) if markup else None, STOP)
+    mark_blocks(blocks, None, (), None)
+    assert [b.mark for b in blocks] == [GOOD, BAD, GOOD]
+
+
+def test_long_prose_with_a_cue_word_stays():
+    for line in (f"The baker of the village sold cookies and bread. {PROSE} {PROSE}", f"{PROSE} {PROSE} Then they would all ask about cookies and the newsletter."):
+        blocks = blocks_of(f"{PROSE}\n\n{line}\n\n{PROSE}", None, STOP)
+        mark_blocks(blocks, None, (), None)
+        assert [b.mark for b in blocks] == [GOOD] * 3
