@@ -1,7 +1,8 @@
 """Lines of a page as blocks: features from text and markup, and the two-pass block rules of problem 3.
 
-Pass one decides each block from stop-word density, length, link density and plain signs
-of site furniture (cue phrases, telling tags). Pass two lets the blocks that stayed
+Pass one decides each block from stop-word density, length, link density, telling tags and
+how much its words read as site furniture, which `furniture` learns from the pages
+themselves. Pass two lets the blocks that stayed
 ambiguous (short lines, headings, list items) inherit the label of their nearest decided
 neighbours, neighbours in the same markup container first.
 """
@@ -15,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pagewright.llm.lexicon import ANY_CUE, CUE_MAX_LINE as CUE_MAX, CUE_NEAR, LONG_KINDS, LONG_STEMS, OWN_VOICE, READER_HANDLE, fold, tidy, visible
+from pagewright.llm.lexicon import fold, tidy, visible
+from pagewright.llm.linear import codes_of, tokens_of
 
 GOOD, BAD, OPEN, HEAD, ITEM = 1, -1, 0, 2, 3
 #: Block rules: characters below which a block is short, above which it is long; stop-word densities; link density.
@@ -47,7 +49,6 @@ _ENDS = {
 }
 _ENDS["dd"] = _ENDS["dt"]
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _SENTENCE_END = re.compile(r"[.!?…][\"'»“”’)\]]*$")
 _BULLET = re.compile(r"^(?:[-–—•*·▪◦]|\(?\d{1,3}[.)]|\[\d{1,3}\])\s")
 _SEPARATED = re.compile(r"\s[|·•/]\s")
@@ -62,12 +63,14 @@ class Block:
     text: str  #: tidy
     low: str  #: folded
     words: list
+    codes: list  #: token hashes
     stop: float  #: share of common words
     link: float  #: share of characters inside links; -1 without markup
     role: int  #: 1 in a main container, -1 in site furniture, 0 unknown
     tag: str  #: nearest block tag
     box: int  #: number of the markup container, -1 unknown
-    cue: str | None
+    cue: float = 0.0  #: score as site furniture by its words (`furniture`), above 0 where it reads as such
+    opens: float = 0.0  #: score as a line that opens a list of other pieces
     mark: int = OPEN
     why: str = ""
 
@@ -235,19 +238,6 @@ class Markup:
         return in_link / length, role, tag, box
 
 
-def long_cue(low: str, stop: float) -> re.Match | None:
-    """The cue that decides a long line: at its very start; or near it, in a line of few common words, of a site speaking of itself, or of two cues."""
-    cue = ANY_CUE.match(low)
-    if cue and cue.lastgroup not in ("author", "comments"):
-        return cue
-    if not any(s in low for s in LONG_STEMS):
-        return None
-    cue = ANY_CUE.search(low, 1, CUE_NEAR + 80)
-    if cue is None or cue.start() > CUE_NEAR or cue.lastgroup not in LONG_KINDS:
-        return None
-    return cue if stop < STOP_LOW or OWN_VOICE.search(low, 0, cue.start()) or ANY_CUE.search(low, cue.end()) else None
-
-
 def blocks_of(text: str | None, markup: str | None, stopwords: frozenset) -> list[Block]:
     """The non-empty lines of ``text`` with their features."""
     out: list[Block] = []
@@ -260,8 +250,9 @@ def blocks_of(text: str | None, markup: str | None, stopwords: frozenset) -> lis
         if not line:
             continue
         low = fold(line)
-        words = _WORD.findall(low)
-        stop = sum(w in stopwords for w in words) / len(words) if words else 0.0
+        tokens = tokens_of(low)
+        words = [t for t in tokens if t[0].isalpha()]
+        stop = len([w for w in words if w in stopwords]) / len(words) if words else 0.0
         link, role, tag, box = -1.0, 0, "", -1
         if page is not None:
             piece = line.replace(" ", "")
@@ -269,9 +260,7 @@ def blocks_of(text: str | None, markup: str | None, stopwords: frozenset) -> lis
             if at >= 0:
                 link, role, tag, box = page.describe(at, len(piece))
                 cursor = at + len(piece)
-        cue = ANY_CUE.search(low) if len(low) <= CUE_MAX else long_cue(low, stop) if role <= 0 else None
-        kind = cue.lastgroup if cue else "comments" if READER_HANDLE.match(low) else None
-        out.append(Block(number, line, low, words, stop, link, role, tag, box, kind))
+        out.append(Block(number, line, low, words, codes_of(tokens), stop, link, role, tag, box))
     return out
 
 
@@ -316,8 +305,10 @@ def mark_blocks(blocks: list[Block], title: str | None, names: tuple, site_name:
             b.mark, b.why = GOOD, "title"
         elif b.role < 0:
             b.mark, b.why = BAD, "container"
-        elif b.cue and not (b.role > 0 and b.stop >= STOP_HIGH and n > 120 and b.cue in ("share", "scripts", "subscribe")):
-            b.mark, b.why = BAD, b.cue
+        elif b.opens > 0:
+            b.mark, b.why = BAD, "related"
+        elif b.cue > 0:
+            b.mark, b.why = BAD, "words"
         elif _is_menu_line(b):
             b.mark, b.why = BAD, "menu"
         elif n <= 90 and people and any(p in b.low for p in people) and len(b.words) <= 9 and b.stop < 0.34 and not _SENTENCE_END.search(b.text):
@@ -373,7 +364,7 @@ def _inherit(blocks: list[Block], tagged_main: bool) -> None:
             continue
         if not left or not right:
             b.mark = left or right
-            if kind == ITEM and b.mark == BAD and not (blocks[p if p >= 0 else q].why in ("related", "comments")):
+            if kind == ITEM and b.mark == BAD and blocks[p if p >= 0 else q].why != "related":
                 b.mark = GOOD
             continue
         # One side is the piece, the other site furniture.

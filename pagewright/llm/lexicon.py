@@ -1,17 +1,9 @@
-"""Cue phrases of site furniture in the four languages, and small helpers on text.
-
-The phrases are general web usage (consent, sharing, subscription, navigation, legal
-lines), not lines of any one site. They are matched on a line in lower case with
-white space collapsed and invisible characters removed.
-"""
+"""Small helpers on text."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
-from pagewright.functions.text import stem
-
 #: Characters that readers do not see: zero-width signs, soft hyphen, byte order mark.
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
@@ -42,115 +34,3 @@ def fold(text: str) -> str:
 def plain_ascii(text: str) -> str:
     """Letters without accents, for comparing names."""
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-
-
-_CUES = {
-    "consent": r"""
-        \bcookies?\b | ^(?:this (?:web)?site uses|ce site utilise|diese (?:web)?seite (?:nutzt|verwendet)|este sitio (?:web )?(?:usa|utiliza))\b | \btémoins de connexion | values? your privacy | small files on your device | accept all\b | reject all\b | manage preferences
-        | speichern daten auf | datenschutzeinstellung | alle (?:annehmen|akzeptieren|ablehnen)
-        | tout (?:accepter|refuser) | gardons des données | données sur votre appareil
-        | (?:aceptar|rechazar) todo | guardamos datos | datos en su dispositivo | your consent choices
-    """,
-    "share": r"""
-        ^(?:share|teilen|partager|compartir)\s*(?:on|via|:) | \bshare this\b | \bshare (?:it|on|via|with)\b | pass it on\b
-        | (?:diesen|den) (?:artikel|beitrag) teilen | partager (?:cet|ce|l) | (?:comparte|compartir) (?:este|esta|el)
-        | copy link | link kopieren | copier le lien | copiar (?:el )?enlace | save for later
-        | ^follow (?:us|.{0,40} on)\b | follow us for more | folgen sie uns | suivez-nous | síguenos
-        | gefällt? (?:es|ihnen)|weitersagen | ^(?:le )?gusta\b | ça vous (?:a )?plu
-    """,
-    "subscribe": r"""
-        \bnewsletters?\b | \bunsubscribe\b | ^subscribe\b | subscribe (?:now|to|today) | free articles? left | in your inbox
-        | crowns a month | \ba month you help | support us from | sign up for
-        | jetzt abonnieren | jederzeit abbestell | in ihrem postfach | \babonnieren\b
-        | abonnez-vous | désinscription | recevez la (?:lettre|newsletter) | \bsuscríbete\b | \bsuscríbase\b | recibe la carta | baja cuando quieras
-        | gratisartikel | articles gratuits | artículos gratis
-    """,
-    "advert": r"""
-        ^(?:advertisement|advertising|advertorial|sponsored|anzeige|werbung|gesponsert|publicité|sponsorisé|publicidad|patrocinado)\b\s*(?:$|[:\-–|])
-    """,
-    "related": r"""
-        ^(?:related (?:stories|articles|posts|content)|you may also like|most (?:read|popular|viewed)|more (?:from|on|stories)|recommended|trending|top stories
-        |mehr (?:aus|von|zum thema)|auch interessant|meist\s?gelesen|das könnte sie
-        |les plus lus|plus sur|à lire aussi|sur le même sujet|vous aimerez
-        |lo más leído|más de|también te puede|te puede interesar)\b
-    """,
-    "pointer": r"""
-        ^(?:read (?:more|also|next)|see also|also read|continue reading|lesen sie (?:auch|mehr)|mehr dazu|siehe auch|weiterlesen|lire (?:aussi|la suite)|voir aussi|à lire|lea (?:también|más)|lee también|leer más|ver también)\s*[:»>–-]
-    """,
-    "tags": r"""
-        ^(?:tags?|topics|keywords|filed under|schlagw(?:orte|örter)|stichw(?:orte|örter)|themen|mots-clés|mots clés|étiquettes|etiquetas|temas)\s*:
-    """,
-    "comments": r"""
-        ^\d[\d.,\s]*\s(?:comments?|kommentare?|commentaires?|comentarios?)$ | ^(?:leave|write|post) a (?:comment|reply) | ^comments? \(\d
-        | ^[\w.]*\w\d+ ?[·|•:] ?\S.{0,60}?: | kommentar schreiben | laisser un commentaire | deja un comentario
-        | (?:see|read|show|view) the comments
-    """,
-    "navigation": r"""
-        ^skip (?:to|navigation)\b | ^zum (?:inhalt|seitenanfang|menü)\b | ^aller au (?:contenu|menu) | ^saltar al? | ^ir al contenido
-        | ^back to (?:top|home)\b | ^nach oben\b | ^haut de (?:la )?page | ^retour en haut | ^volver arriba | ^(?:sign|log) in$ | ^anmelden$ | ^connexion$ | ^acceder$
-    """,
-    "legal": r"""
-        ^© | © ?\d{4} | ^copyright\b | \ball rights reserved\b | alle rechte vorbehalten | tous droits réservés | todos los derechos reservados
-        | trading name of | registered under | registernummer | immatriculée? | inscrit[ao] con el | views expressed | do not represent
-        | für die inhalte .{0,40}haftet | n.engagent que | las opiniones (?:firmadas|expresadas) | ^published by | erscheint bei .{2,60}(?:medien|verlag|register)
-        | est édité par | es una cabecera | reproduction (?:in|is|of) .{0,40}(?:permitted|prohibited|part)|^(?:terms of|privacy policy|impressum|imprint|mentions légales|aviso legal)
-        | managed forests | ^(?:gedruckt|imprimé|impreso)\b
-    """,
-    "scripts": r"""
-        (?:turn on|enable|allow|activate|switch on) (?:java)?scripts? | (?:java)?skripte? (?:ein|aktivier) | aktivieren sie (?:java)?s[ck]ript
-        | activez (?:java|les )?scripts? | active (?:java|los )?scripts? | (?:java)?scripts? (?:is|are) (?:off|disabled|turned off|required) | (?:activer|autoriser|activar|habilitar?|permit[ae]r?) (?:les |los |el )?(?:java)?scripts?
-    """,
-    "author": r"""
-        ^(?:by|von|par|por|text:|words by|written by)\s+[^\W\d_][\w'’.-]*(?:\s+[^\W\d_][\w'’.-]*){1,4}$
-        | ^.{3,60}?(?:staff|redaktion|rédaction|redacción|correspondent|reporter|newsroom|desk)\b.{0,60}(?:\||\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{4})
-        | ^.{3,90}\|\s*\d{4}-\d\d-\d\d$
-    """,
-}
-
-
-def _one_line(pattern: str) -> str:
-    """The alternatives above as one pattern; single spaces inside a phrase stay."""
-    return re.sub(r"\s*\n\s*\|?\s*", "|", pattern.strip()).replace(" | ", "|")
-
-
-#: One pass over a line; the name of the matching group tells the kind.
-ANY_CUE = re.compile("|".join(f"(?P<{kind}>{_one_line(pattern)})" for kind, pattern in _CUES.items()), re.S)
-
-
-#: A reader's handle with digits, a place or date, a colon, then the comment, however long.
-READER_HANDLE = re.compile(r"^[\w.-]*[^\W\d_]\d{1,4} ?[·|•,-] ?[^:.!?]{2,40}: ?\S")
-#: A cue decides lines up to so many characters alone; in a longer line its place and the common words count too.
-CUE_MAX_LINE = 190
-#: A cue of a long line counts up to so many characters from its start.
-CUE_NEAR = 90
-#: Kinds of cues that long lines of site furniture have beyond their start.
-LONG_KINDS = ("consent", "subscribe", "legal", "scripts")
-#: A site that speaks of itself or to its reader.
-OWN_VOICE = re.compile(r"\b(?:we|our|you|your|(?:this|the) (?:web)?site|wir|uns(?:ere?)?|sie|diese (?:web)?seite|nous|nos|notre|vous|votre|ce site|este sitio|nuestr[ao]s?|usamos|utilizamos|usted|su)\b")
-
-
-def _alternatives(pattern: str) -> list[str]:
-    """A pattern's alternatives at its top level."""
-    out, depth = [""], 0
-    for c in pattern:
-        depth += (c in "([") - (c in ")]")
-        if c == "|" and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
-
-
-def stems_of(*patterns: str) -> tuple[str, ...]:
-    """Pieces of plain text of which every match of one of the patterns holds one."""
-    return tuple(sorted({stem(re.sub(r"\\?\.", "()", x)) for p in patterns for x in _alternatives(p)}))
-
-
-#: Stems of the cues that may stand beyond a line's start.
-LONG_STEMS = stems_of(*("|".join(x for x in _alternatives(_one_line(_CUES[kind])) if not x.startswith("^")) for kind in LONG_KINDS))
-
-
-def cue_of(line: str) -> str | None:
-    """The kind of site furniture a tidy, lower-case line speaks of, or None."""
-    hit = ANY_CUE.search(line)
-    return hit.lastgroup if hit else None

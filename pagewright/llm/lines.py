@@ -113,7 +113,7 @@ def occurrences(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def counted_rows(spark: SparkSession, base: str) -> DataFrame:
     """The staged lines of all records that are neither residue nor stuffed."""
-    facts = page_facts(spark, base, {"residue", "stuffed"})
+    facts = page_facts(spark, base)
     kept = facts.where(~F.coalesce("residue", F.lit(False)) & ~F.coalesce("stuffed", F.lit(False))).select("result_id", "url", "text_content")
     return stage(line_rows(kept), "p2-lines")
 

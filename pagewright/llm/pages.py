@@ -1,13 +1,16 @@
 """One pass over extraction results: lines, block rules, residue and stuffing flags, text statistics.
 
-`page_facts` is the shared first stage of problems 1, 3, 4 and 5 (and gives problem 2 its
-exclusions): each page is parsed once in an Arrow-batched Python stage, and everything
-that follows is DataFrame work on small columns.
+`page_facts` is the shared first stage of problems 1 to 5: each page is parsed once in an
+Arrow-batched Python stage, and everything that follows is DataFrame work on small
+columns. `staged_facts` writes those columns once, for all queries of a session over the
+same table. The models are fitted on a bounded sample whose pages are parsed on the
+executors; the driver gets token hashes and labels alone, whose number the sample bounds.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,14 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.blocks import BAD, blocks_of, mark_blocks
-from pagewright.llm.residue import features_of, fit_linear, is_residue, windows_of
-from pagewright.llm.stuffing import PROSE, LineModel, body_flags, fit_line_model, is_stuffed, states_of
+from pagewright.llm.blocks import BAD, Block, blocks_of, mark_blocks
+from pagewright.llm.furniture import fit_furniture, labels_of, named, score_lines
+from pagewright.llm.furniture import signs_of as furniture_signs
+from pagewright.llm.linear import Stretches, fit
+from pagewright.llm.residue import TITLE, are_residue, judged, labelled
+from pagewright.llm.stuffing import PROSE, LineModel, body_flags, fit_line_model, is_stuffed, read_signs, states_of
+from pagewright.llm.tables import bounded_sample, common_words, fingerprint, once, read_table, site_of, stage, tune
 from pagewright.session import spread
-from pagewright.llm.tables import bounded_sample, common_words, read_table, tune
 
-#: Rows of the sample that the residue classifier and the line model are fitted on, and the longest text in it.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 60_000
+#: Rows of the sample that the residue classifier is fitted on, and of its part for the line models; the longest text and markup in it.
+SAMPLE_ROWS, LINE_ROWS, SAMPLE_CHARS, SAMPLE_MARKUP = 5000, 2500, 60_000, 250_000
+#: Of the sample's sentences that no pattern knows, one in so many is shown to the residue classifier.
+PLAIN_SENTENCES = 3
+#: Characters of text and markup that are held parsed at a time, unless one page has more.
+GROUP_CHARS = 3_000_000
 
 FACTS = T.StructType(
     [
@@ -54,10 +64,61 @@ class PageModels:
 
     words: dict
     stop: frozenset
+    furniture: tuple[np.ndarray, np.ndarray]
     residue: np.ndarray
     lines: LineModel
 
 
+@dataclass(slots=True)
+class Page:
+    """A page's columns, and its lines once it is parsed."""
+
+    title: str | None
+    text_content: str | None
+    cleaned_html: str | None
+    byline: str | None
+    author: str | None
+    site_name: str | None
+    lang: str | None
+    blocks: list[Block]
+
+    def names(self) -> tuple[str | None, str | None]:
+        return _BY.sub("", self.byline.strip()) if self.byline else None, self.author
+
+
+def pages_of(frame: pd.DataFrame) -> list[Page]:
+    lists = [[x if isinstance(x, str) else None for x in frame[c]] for c in INPUTS]
+    return [Page(*values, []) for values in zip(*lists)]
+
+
+def groups(pages: list[Page]) -> Iterator[list[Page]]:
+    """The pages in their order, so many at a time that what is parsed stays small."""
+    held, size = [], 0
+    for page in pages:
+        held.append(page)
+        size += len(page.text_content or "") + len(page.cleaned_html or "")
+        if size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def parse(pages: list[Page], stop: frozenset) -> list[tuple[list[Block], str, list[str]]]:
+    """(blocks, site, people) of each page, the blocks not marked yet."""
+    for page in pages:
+        page.blocks = blocks_of(page.text_content, page.cleaned_html, stop)
+    return [(page.blocks, *named(*page.names(), page.site_name)) for page in pages]
+
+
+def mark(pages: list[Page], stop: frozenset, furniture: tuple[np.ndarray, np.ndarray]) -> None:
+    """Parse the pages and mark their blocks."""
+    score_lines(parse(pages, stop), furniture)
+    for page in pages:
+        if page.blocks:
+            mark_blocks(page.blocks, page.title, page.names(), page.site_name)
+
+
 def language_of(lang: str | None, blocks: list, words: dict) -> str:
     """The base language in lower case; where none is recorded, the one whose common words the text uses most."""
     hit = _LANG.match(lang.strip().lower()) if lang else None
@@ -71,21 +132,9 @@ def language_of(lang: str | None, blocks: list, words: dict) -> str:
     return best
 
 
-def marked_blocks(row, stop: frozenset) -> list:
-    blocks = blocks_of(row.text_content, row.cleaned_html, stop)
-    if blocks:
-        byline = _BY.sub("", row.byline.strip()) if row.byline else None
-        mark_blocks(blocks, row.title, (byline, row.author), row.site_name)
-    return blocks
-
-
-def facts_of(row, models: PageModels, wanted: frozenset) -> tuple:
-    """The facts of one page. A page without text has no residue window beside its title, no body and no noise lines."""
-    blocks = marked_blocks(row, models.stop)
-    residue = is_residue(row.title, row.text_content, blocks, models.residue) if "residue" in wanted else None
-    if not wanted & {"stuffed", "stats"}:
-        noise = [b.line_no for b in blocks if b.mark == BAD] if "noise" in wanted else None
-        return (residue, None, None, None, None, None, None, None, None, None, noise)
+def facts_of(page: Page, residue: bool, models: PageModels) -> tuple:
+    """The facts of one marked page. A page without text has no body and no noise lines."""
+    blocks = page.blocks
     states = states_of(blocks, models.lines)
     body = body_flags(blocks)
     stuffed = is_stuffed(blocks, states, body)
@@ -103,84 +152,134 @@ def facts_of(row, models: PageModels, wanted: frozenset) -> tuple:
         symbols += len(_SYMBOL.findall(b.text))
         ended += bool(_END.search(b.text))
         lines += 1
-    noise = [b.line_no for b in blocks if b.mark == BAD] if "noise" in wanted else None
     of = max(1, words)
-    return (residue, stuffed, language_of(row.lang, blocks, models.words), words, chars, letters / of, symbols / max(1, chars), ended / max(1, lines), common / of, prose / of, noise)
-
+    noise = [b.line_no for b in blocks if b.mark == BAD]
+    return (bool(residue), stuffed, language_of(page.lang, blocks, models.words), words, chars, letters / of, symbols / max(1, chars), ended / max(1, lines), common / of, prose / of, noise)
 
 
-
-def page_stage(models: PageModels, wanted: frozenset):
+def page_stage(models: PageModels):
     """The Arrow-batched page stage as a column function over `INPUTS`."""
     columns = [f.name for f in FACTS]
 
     def run(title, text_content, cleaned_html, byline, author, site_name, lang):
-        frame = {"title": title, "text_content": text_content, "cleaned_html": cleaned_html, "byline": byline, "author": author, "site_name": site_name, "lang": lang}
-        lists = {k: [x if isinstance(x, str) else None for x in v] for k, v in frame.items()}
-        rows = [facts_of(_Page(*values), models, wanted) for values in zip(*(lists[k] for k in INPUTS))]
+        rows = []
+        for pages in groups(pages_of(pd.DataFrame(dict(zip(INPUTS, (title, text_content, cleaned_html, byline, author, site_name, lang)))))):
+            mark(pages, models.stop, models.furniture)
+            flags = are_residue([(page.title, page.blocks) for page in pages], models.residue)
+            for page, residue in zip(pages, flags):
+                rows.append(facts_of(page, residue, models))
+                page.blocks = []
         return pd.DataFrame(rows, columns=columns)
 
     run.__annotations__ = {k: pd.Series for k in INPUTS} | {"return": pd.DataFrame}
     return F.pandas_udf(run, FACTS).asNondeterministic()
 
 
-@dataclass(slots=True)
-class _Page:
-    title: str | None
-    text_content: str | None
-    cleaned_html: str | None
-    byline: str | None
-    author: str | None
-    site_name: str | None
-    lang: str | None
+# --- fitting --------------------------------------------------------------------------
+
+
+def _ints(values, kind) -> bytes:
+    return np.fromiter(values, kind).tobytes()
+
+
+def _pack(codes: list[list[int]], signs: list[tuple[int, ...]]) -> tuple[bytes, bytes, bytes, bytes]:
+    return _ints((c for x in codes for c in x), np.uint32), _ints(map(len, codes), np.int32), _ints((c for x in signs for c in x), np.uint32), _ints(map(len, signs), np.int32)
+
+
+_PACKED = "codes binary, sizes binary, signs binary, sign_sizes binary"
+LINE_ROW = f"site string, {_PACKED}, own binary, opens binary"
+SENTENCE_ROW = f"site string, {_PACKED}, labels binary, phrases array<string>, lines binary, guesses binary"
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in schema.split(", ")])
+
+
+def line_examples(stop: frozenset):
+    """For `mapInPandas`: token hashes, signs and labels by markup of the lines of sampled pages."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for (blocks, site, people), host in zip(parse(pages_of(frame), stop), frame["site"]):
+                labels = labels_of(blocks)
+                rows.append((host, *_pack([b.codes for b in blocks], [furniture_signs(b, site, people) for b in blocks]), _ints((x for x, _ in labels), np.int8), _ints((x for _, x in labels), np.int8)))
+            yield _frame(rows, LINE_ROW)
+
+    return run
+
 
+def sentence_examples(stop: frozenset, furniture: tuple[np.ndarray, np.ndarray]):
+    """For `mapInPandas`: token hashes, signs and weak labels of titles and sentences of sampled pages, and the signs of their lines.
+
+    Of the sentences that no pattern knows one in `PLAIN_SENTENCES` is kept, by a hash of its tokens.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            pages = pages_of(frame)
+            mark(pages, stop, furniture)
+            for page, host in zip(pages, frame["site"]):
+                kept = [(c, s, y, p) for c, s, (y, p) in zip(*judged(page.title, page.blocks), labelled(page.title, page.blocks)) if y >= 0 and (y or p or c[:1] == [TITLE] or sum(c) % PLAIN_SENTENCES == 0)]
+                signs, guesses = read_signs(page.blocks)
+                rows.append((host, *_pack([x[0] for x in kept], [x[1] for x in kept]), _ints((x[2] for x in kept), np.int8), [x[3] for x in kept], signs.astype(np.int8).tobytes(), guesses.astype(np.int8).tobytes()))
+            yield _frame(rows, SENTENCE_ROW)
+
+    return run
 
-def labelled_windows(row, blocks: list) -> list[tuple]:
-    """(host, features, weak label) of those windows of a sampled page that have a label."""
-    host = re.sub(r"^[a-z]+://(?:www\.|m\.|amp\.)?([^/?#:]*).*$", r"\1", (row["url"] or "").lower(), flags=re.S)
-    return [(host, features_of(w), w.weak) for w in windows_of(row["title"], row["text_content"], blocks) if w.weak >= 0]
 
+def _joined(rows: list, column: str, kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[column], kind) for r in rows)])
 
-def sample_pages(pages: DataFrame) -> list:
-    return bounded_sample(pages.select("result_id", "url", *INPUTS), "result_id", SAMPLE_ROWS, SAMPLE_CHARS, "text_content")
 
+def stretches_of(rows: list) -> Stretches:
+    return Stretches.flat(*(_joined(rows, c, k) for c, k in (("codes", np.uint32), ("sizes", np.int32), ("signs", np.uint32), ("sign_sizes", np.int32))))
+
+
+@dataclass
+class Sample:
+    """What the driver keeps of the sampled pages."""
+
+    furniture: tuple[np.ndarray, np.ndarray]
+    sentences: list  #: rows of `SENTENCE_ROW`
 
-def train(spark: SparkSession, base: str, pages: DataFrame, wanted: frozenset) -> PageModels:
+
+def read_sample(pages: DataFrame, stop: frozenset) -> Sample:
+    """Stage the sampled rows, parse them on the executors, and fit the furniture classifiers that the block rules need."""
+    chosen = bounded_sample(pages.select("result_id", "url", *INPUTS), "result_id", SAMPLE_ROWS, {"text_content": SAMPLE_CHARS, "cleaned_html": SAMPLE_MARKUP})
+    sample = spread(stage(chosen.select(site_of(F.col("url")).alias("site"), (F.xxhash64("result_id") / float(1 << 63)).alias("draw"), *INPUTS), "sample"))
+    some = sample.where(F.col("draw") < 2.0 * LINE_ROWS / SAMPLE_ROWS - 1.0)
+    lines = some.mapInPandas(line_examples(stop), LINE_ROW).collect()  # at most 2 x LINE_ROWS rows
+    furniture = fit_furniture([r["site"] for r in lines], [len(r["own"]) for r in lines], stretches_of(lines), _joined(lines, "own", np.int8), _joined(lines, "opens", np.int8))
+    return Sample(furniture, sample.mapInPandas(sentence_examples(stop, furniture), SENTENCE_ROW).collect())  # at most 2 x SAMPLE_ROWS rows
+
+
+def train(spark: SparkSession, base: str, pages: DataFrame) -> PageModels:
     """Fit the models on a bounded sample (`SAMPLE_ROWS`); an empty table gives models that flag nothing."""
     words = common_words(spark, base)
     stop = frozenset(w for own in words.values() for w in own)
-    rows = sample_pages(pages) if wanted & {"residue", "stuffed", "stats"} else []
-    windows: list[tuple] = []
-
-    def read():
-        """Each sampled page's blocks in turn, so that they are not all held at once."""
-        for row in rows:
-            blocks = marked_blocks(row, stop)
-            if "residue" in wanted:
-                windows.extend(labelled_windows(row, blocks))
-            yield blocks
-
-    if wanted & {"stuffed", "stats"}:
-        lines = fit_line_model(read())
-    else:
-        lines = fit_line_model([])
-        for _ in read():
-            pass
-    residue = fit_linear([x for _, x, _ in windows], np.array([y for _, _, y in windows], float))
-    return PageModels(words, stop, residue, lines)
-
-
-def page_facts(spark: SparkSession, base: str, wanted: set, pages: DataFrame | None = None) -> DataFrame:
-    """result_id, url, text_content and the `FACTS` of each page; ``wanted`` of residue, stuffed, stats, noise.
+    sample = read_sample(pages, stop)
+    residue = fit(stretches_of(sample.sentences), _joined(sample.sentences, "labels", np.int8), epochs=16)
+    some = sample.sentences[: 2 * LINE_ROWS]
+    lines = fit_line_model([(r["lines"], r["guesses"]) for r in some[::2]] if len(some) > LINE_ROWS else [(r["lines"], r["guesses"]) for r in some])
+    return PageModels(words, stop, sample.furniture, residue, lines)
+
+
+def page_facts(spark: SparkSession, base: str) -> DataFrame:
+    """result_id, url, text_content and the `FACTS` of each page.
 
     Rows with a null result_id have no identity and are left out. Rows that repeat a
     result_id are kept as they are. Columns beyond those read are ignored.
     """
     tune(spark)
-    pages = read_table(spark, base, "extraction_results") if pages is None else pages
-    pages = pages.where(F.col("result_id").isNotNull())
-    wanted = frozenset(wanted)
-    models = train(spark, base, pages, wanted)
+    pages = read_table(spark, base, "extraction_results").where(F.col("result_id").isNotNull())
+    models = once(spark, ("models", *fingerprint(spark, base, "extraction_results", "common_words")), lambda: train(spark, base, pages))
     rows = spread(pages.select("result_id", "url", *INPUTS))
-    out = rows.select("result_id", "url", "text_content", page_stage(models, wanted)(*INPUTS).alias("facts"))
+    out = rows.select("result_id", "url", "text_content", page_stage(models)(*INPUTS).alias("facts"))
     return out.select("result_id", "url", "text_content", "facts.*")
+
+
+def staged_facts(spark: SparkSession, base: str) -> DataFrame:
+    """`page_facts` without the texts, written once a session for each state of the table's files."""
+    return once(spark, ("facts", *fingerprint(spark, base, "extraction_results", "common_words")), lambda: stage(page_facts(spark, base).drop("text_content"), "facts"))

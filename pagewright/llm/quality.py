@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.pages import page_facts
-from pagewright.llm.tables import read_table, stage
+from pagewright.llm.pages import staged_facts
+from pagewright.llm.tables import read_table
 
 STATISTICS = ("common_word_share", "mean_word_length", "symbol_ratio", "punct_line_share", "prose_word_share", "body_words")
 #: A language with fewer pages is placed in the distribution of all languages.
@@ -104,13 +104,13 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     A record without text or with site furniture alone is none; rows that repeat a result_id
     give it once; a null lang is read from the text; an empty table gives no rows.
     """
-    facts = stage(page_facts(spark, base, {"residue", "stuffed", "stats"}).drop("url", "text_content", "noise_lines"), "p1-facts")
+    facts = staged_facts(spark, base)
     return flagged(facts).where("not_prose").select("result_id").distinct()
 
 
 def p1_stats(spark: SparkSession, base: str) -> DataFrame:
     """Each record's statistics, percentiles and z-scores, beside the latest audited figures of its url."""
-    facts = stage(page_facts(spark, base, {"residue", "stuffed", "stats"}).drop("text_content", "noise_lines"), "p1-stats")
+    facts = staged_facts(spark, base)
     audits = (
         read_table(spark, base, "audit_entries")
         .where(F.col("diagnostics").isNotNull() & F.col("url").isNotNull())

@@ -1,34 +1,29 @@
-"""Problem 4: template residue, filler, error and script notices.
-
-The unit that is judged is an evidence window: the title, each stretch of text around
-an unfilled placeholder or a printed missing value, and the head of the text when little
-is left of it beside site furniture. A window becomes hashed word n-grams plus length and
-title features; an L2-regularised logistic regression, trained on weak labels (status
-lines, set phrases, the setting of a placeholder), scores it, with the weak label as
-a prior (`MARGINS`). A record is residue if any of its windows is.
+"""Problem 4: template residue, filler, error and script notices, by a classifier of every title and sentence.
+
+Each title and each sentence of each text becomes hashed word n-grams plus its length, how
+much prose its page holds, and what is special to titles; an L2-regularised logistic
+regression decides whether it is residue, and a record is residue if one of them is. No
+pattern takes part in that decision: status lines, set phrases and the setting of
+placeholders only give the weak labels that the classifier is trained on, on a bounded
+sample, and most sentences have none but that of their page.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from dataclasses import dataclass
 
 import numpy as np
 
-from pagewright.llm.blocks import _WORD, BAD, Block
-from pagewright.llm.lexicon import CUE_MAX_LINE, fold, stems_of, tidy
+from pagewright.llm.blocks import BAD, Block
+from pagewright.llm.lexicon import fold, tidy
+from pagewright.llm.linear import END, Stretches, codes_of, score, tokens_of
 
-#: Size of the hashed feature space.
-DIMENSIONS = 1 << 16
-#: Value of a length, title or setting feature against 1 of an n-gram.
-SIGN_WEIGHT = 3.0
-#: Characters before and after a missing value that show its setting.
-AROUND = 200
-#: From so many n-grams on, each of a window's weighs less.
-GRAMS = 477
-#: At most so many words of the text, without site furniture, count as a thin page.
-THIN_WORDS = 70
+#: Words of prose up to which a page counts as empty, small, thin and short.
+SIZES = (12, 45, 70, 140)
+#: Words of a sentence of more than this many are prose even where no full stop ends it; with one, of so many.
+LONG_SENTENCE, ENDED_SENTENCE = 22, 12
+
+# --- weak labels: patterns of the training alone --------------------------------------
 
 #: A form's closing sign may stand at any distance; each form stops at its own opening sign, so a search stays linear.
 PLACEHOLDER = re.compile(
@@ -57,207 +52,181 @@ _COMMENTS = re.compile(r"\bcomment|\bkommentar|\bcomentario")
 _DUMMY = re.compile(
     r"(?:dummy|placeholder|sample|filler) text|write a (?:short )?(?:paragraph|description|sentence) about|sample (?:copy|content)|(?:copy|text|content) (?:and )?(?:that )?will be replaced|add (?:a|your) (?:description|title|text|caption)|(?:click|tap) (?:here )?to edit|title of this (?:block|section)|describe your (?:business|company)|hier steht ihr|titel dieses|fügen sie (?:hier|eine)|titre de ce|ajoutez (?:ici|une)|título de este|añada (?:aquí|una)|texto de muestra|(?:your|this) text (?:here|goes)|replace this text|text goes here|blindtext|platzhaltertext|ihr text|(?:faux|votre) texte|texte (?:ici|à remplacer|de remplissage)|texto (?:de relleno|de ejemplo|aquí|simulado)|su texto|lorem ipsum"
 )
-_FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua ornare fringilla donec nunc vela vitae morbi sodales sagittis urna".split())
+_FILLER = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua".split())
 _QUOTING = re.compile(
     r"\b(?:wr[oi]te[sn]?|writing|type[sd]?|typing|call(?:s|ed)|named?|keeps?|path|variable|script|template|engine|syntax|placeholder|(?:on the|black)board|lesson|mail once|opened with|explain(?:s|ed)|example|code|field called|prints?|printed|swaps?|replaces?|typesetters?|printers|filled gaps|layout"
     r"|schrieb|schreibt|tippte|heißt|namens|platzhalter|vorlage|variable|erklärt\w*|beispiel|tafel|écri[tv]\w*|appel(?:le|é)\w*|nomm\w+|gabarit|modèle|exemple|tableau|escrib\w+|llam\w+|plantilla|ejemplo|pizarra)\b"
 )
-#: A line without any of these pieces holds no phrase; to look for them is far cheaper than the patterns.
-_STEMS = stems_of(_PHRASES.pattern, _DUMMY.pattern)
-_SENTENCES = re.compile(r"(?<=[.!?…])\s+")
-
-
-def _is_spoken(low: str) -> bool:
-    return bool(_PHRASES.search(low) and not _COMMENTS.search(low) or _DUMMY.search(low))
-
-
-def _parts(block: Block) -> tuple[list[str], list[str]]:
-    """What of a line speaks in set phrases, and the rest: a short line as a whole, a longer one by its sentences."""
-    low = block.low
-    if not any(s in low for s in _STEMS):
-        return [], [block.text]
-    if len(low) <= 260 and _is_spoken(low) or len(low) <= 500 and _DUMMY.search(low):
-        return [block.text], []
-    if len(low) <= 260:
-        return [], [block.text]
-    spoken, rest = [], []
-    for sentence in _SENTENCES.split(block.text):
-        (spoken if _is_spoken(fold(sentence)) else rest).append(sentence)
-    return spoken, [" ".join(rest)] if spoken and rest else [block.text] if not spoken else []
-
-
 _QUOTES = "\"'“”„«»‘’`"
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|\x01|\x02|[{}<>\[\]%$#@|/\"“”„«»:;=_()]")
-
-
-@dataclass(slots=True)
-class Window:
-    kind: str  #: title, mark, missing or page
-    text: str  #: folded, placeholders as \x01, missing values as \x02
-    words: int
-    weak: int  #: 1, 0 or -1 (no weak label)
-    extra: tuple
+_ENDED = re.compile(r"[.!…][\"'»“”’)\]]*$")
+_SPLIT = re.compile(r"(?<=[.!?…])\s+(?=\S)|(?<=[.!?…][\"'»“”’)\]])\s+(?=\S)")
 
 
-_SIGN = re.compile(r"[{$#<\[%@*_]")
-
-
-def placeholders(text: str):
-    """The placeholders of a text in order; only places with a sign that can open one are tried."""
-    end = 0
-    for sign in _SIGN.finditer(text):
-        if sign.start() >= end and (hit := PLACEHOLDER.match(text, sign.start())):
-            end = hit.end()
-            yield hit
-
-
-def _mask(text: str) -> str:
-    return fold(MISSING.sub("\x02", PLACEHOLDER.sub("\x01", text)))
-
-
-def _around(raw: str):
-    """The stretches of a line around its missing values, and the values in each; stretches that meet are one."""
-    start = stop = 0
-    values: list[str] = []
-    for hit in MISSING.finditer(raw):
-        if values and hit.start() - AROUND > stop:
-            yield raw[start:stop], values
-            values = []
-        if not values:
-            start = max(hit.start() - AROUND, 0)
-            start = raw.find(" ", start, hit.start()) + 1 or start if start else 0
-        stop = hit.end() + AROUND
-        stop = len(raw) if stop >= len(raw) else max(raw.rfind(" ", hit.end(), stop), hit.end())
-        values.append(hit.group())
-    if values:
-        yield raw[start:stop], values
-
-
-def windows_of(title: str | None, text: str | None, blocks: list[Block]) -> list[Window]:
-    """The evidence windows of one record; ``blocks`` are the lines of ``text``."""
-    out: list[Window] = []
-    text = text or ""
-    for hit in placeholders(text):
-        start = max(text.rfind(". ", 0, hit.start()), text.rfind("\n", 0, hit.start()), hit.start() - 160, 0)
-        stop = min(x for x in (text.find(". ", hit.end()), text.find("\n", hit.end()), hit.end() + 160, len(text)) if x >= 0)
-        before, after = text[start : hit.start()], text[hit.end() : stop]
-        quoted = before.rstrip()[-1:] in _QUOTES and before[-1:] in _QUOTES or after[:1] in _QUOTES or '"' in before[-14:] and '"' in after[:4]
+def _hole(raw: str) -> int:
+    """The weak label of a sentence with a placeholder or a printed missing value, -1 where it has none."""
+    found = -1
+    talk = bool(_QUOTING.search(fold(PLACEHOLDER.sub(" ", raw))))
+    for hit in PLACEHOLDER.finditer(raw):
+        before, after = raw[: hit.start()], raw[hit.end() :]
+        quoted = before.rstrip()[-1:] in tuple(_QUOTES) or after[:1] in tuple(_QUOTES) or '"' in before[-14:] and '"' in after[:4]
         path = after[:1] in ("/", "\\") or before[-1:] in ("/", "=")
-        talk = bool(_QUOTING.search(fold(before + " " + after)))
         code = hit.group()[0] == "{" and hit.group()[1] not in "{%" and (before[-1:] in tuple("})]=>") or after[:1] in tuple("{[(=;"))
-        weak = 0 if talk or quoted or path else -1 if code else 1
-        extra = ("quoted",) * quoted + ("path",) * path + ("talk",) * talk + ("code",) * code or ("plain",)
-        low = _mask(before[-90:]) + " \x01 " + _mask(after[:90])
-        out.append(Window("mark", low, len(low.split()), weak, extra))
-    spoken, other, words, prose = [], [], 0, 0
-    for block in blocks:
-        said, rest = _parts(block)
-        spoken += said
-        if not rest or block.cue and len(block.low) <= CUE_MAX_LINE or block.mark == BAD and block.why in ("menu", "container") and sum(w in _FILLER for w in block.words) < 2:
+        found = max(found, 0 if talk or quoted or path or code else 1)
+    values = MISSING.findall(raw)
+    if values:
+        share = len(values) / max(1, len(raw.split()))
+        code = any(c in raw for c in "{};=(|") and "[object" not in raw
+        if code or talk or len(values) == 1 and values[0] in ("None", "null", "nil") and share < 0.08:
+            found = max(found, 0)
+        elif share >= 0.08 or len(values) >= 2:
+            found = 1
+    return found
+
+
+def kind_of(raw: str) -> str:
+    """What kind of pattern a sentence matches: hole, filler, dummy, notice, or '' for none."""
+    low = fold(raw)
+    words = re.findall(r"[^\W\d_]+", low)
+    if PLACEHOLDER.search(raw) or MISSING.search(raw):
+        return "hole"
+    if len(words) >= 4 and sum(w in _FILLER for w in words) >= 0.3 * len(words):
+        return "filler"
+    if _DUMMY.search(low):
+        return "dummy"
+    return "notice" if (_PHRASES.search(low) or _STATUS.search(low)) and not _COMMENTS.search(low) else ""
+
+
+def phrase_of(raw: str) -> str:
+    """The words of a notice or dummy text that its pattern matched, '' for none; tells phrases apart when some are withheld."""
+    low = fold(raw)
+    hit = _DUMMY.search(low) or _PHRASES.search(low) or _STATUS.search(low)
+    return hit.group() if hit else ""
+
+
+def weak_label(raw: str, kind: str, size: int) -> int:
+    """1, 0 or -1 (none) for a sentence of a kind, on a page of a size class beside such sentences."""
+    hole = _hole(raw)
+    if hole >= 0:
+        return hole
+    if kind == "filler":
+        return 1
+    if kind in ("dummy", "notice"):
+        return 1 if size <= 1 else 0 if size == len(SIZES) else -1
+    return 0
+
+
+def weak_title(title: str, size: int) -> int:
+    low = fold(tidy(title))
+    if PLACEHOLDER.search(title) or low in ("", "undefined", "null", "nan", "[object object]"):
+        return 1
+    if not _STATUS.search(low):
+        return 0
+    return 1 if size <= 1 else 0 if size == len(SIZES) else -1
+
+
+# --- what is judged -------------------------------------------------------------------
+
+
+def size_class(blocks: list[Block]) -> int:
+    """How much prose a page holds beside site furniture: 0 for next to none to `len(SIZES)`."""
+    prose = 0
+    for b in blocks:
+        if b.mark != BAD:
+            n = len(b.words)
+            if n >= LONG_SENTENCE or n >= ENDED_SENTENCE and _ENDED.search(b.text):
+                prose += n
+    return sum(prose > s for s in SIZES)
+
+
+def sentences(codes: list[int]) -> list[list[int]]:
+    """Token hashes of a line cut at the ends of its sentences."""
+    if END not in codes:
+        return [codes]
+    out, start = [], 0
+    for k, c in enumerate(codes):
+        if c == END:
+            out.append(codes[start:k])
+            start = k + 1
+    return [*out, codes[start:]]
+
+
+#: Signs that running prose seldom has, and the hash that stands for any word or number beside them.
+_ODD = frozenset(codes_of(list("{}[]<>%$#@*|_/\\=~^`")))
+_WORD = 0x51ED270B
+_JOINS = frozenset(codes_of(list("._-")))
+_PLAIN = frozenset(codes_of(list(".,;:!?…'\"“”„«»‘’()-–—&+·•"))) | {END}
+
+
+def shapes(codes: list[int]) -> tuple[int, ...]:
+    """Hashes of the distinct three neighbouring tokens of which two or more are odd signs; a run of words and joined words is one, whatever they say."""
+    if _ODD.isdisjoint(codes):
+        return ()
+    kinds: list[int] = []
+    for k, c in enumerate(codes):
+        kind = c if c in _ODD or c in _PLAIN else _WORD
+        if kind == _WORD:
+            if kinds[-2:-1] == [_WORD] and kinds[-1] in _JOINS:
+                kinds.pop()
+            if kinds[-1:] == [_WORD]:
+                continue
+        kinds.append(kind)
+    out = set()
+    for k in range(len(kinds) - 1):
+        three = kinds[k : k + 3]
+        if sum(c in _ODD for c in three) >= 2:
+            out.add((three[0] * 31 + three[1] * 1009 + (three[2] if len(three) > 2 else 7) * 65537) & 0xFFFFFFFF)
+    return tuple(out) or (0x1B873593,)
+
+
+def judged(title: str | None, blocks: list[Block]) -> tuple[list[list[int]], list[tuple[int, ...]]]:
+    """Codes and signs of what is judged: the title first if there is one, then each sentence of each line."""
+    size = size_class(blocks)
+    codes, signs = [], []
+    if title and title.strip():
+        own = codes_of(tokens_of(fold(tidy(title))))
+        codes.append([TITLE, *own])
+        again = any(b.codes == own for b in blocks[:4])
+        signs.append((200 + size, 210 + min(9, len(own).bit_length()), 220, 221 + again, 230 + size, *shapes(own)))
+    for b in blocks:
+        bad = b.mark == BAD
+        for part in sentences(b.codes):
+            codes.append(part)
+            signs.append((240 + size, 250 + len(part).bit_length(), 260 + 10 * bad + size, *shapes(part)))
+    return codes, signs
+
+
+#: Stands before the tokens of a title, so that how it begins differs from how a sentence does.
+TITLE = 0x7F4A7C15
+
+
+def labelled(title: str | None, blocks: list[Block]) -> list[tuple[int, str]]:
+    """(weak label, phrase that gave it) of each of `judged`. In a page with residue all over it, sentences no pattern knows have no label."""
+    kinds = [[(raw, kind_of(raw)) for raw in _SPLIT.split(b.text)] for b in blocks]
+    words = [len(raw.split()) for b, parts in zip(blocks, kinds) if b.mark != BAD and len(b.words) >= ENDED_SENTENCE for raw, kind in parts if not kind]
+    size = sum(sum(words) > s for s in SIZES)
+    out: list[tuple[int, str]] = []
+    if title and title.strip():
+        label = weak_title(title, size)
+        out.append((label, "hole" if PLACEHOLDER.search(title) else phrase_of(tidy(title)) if label else ""))
+    whole = any(y == 1 and p != "hole" for y, p in out)
+    for b, parts in zip(blocks, kinds):
+        if len(parts) != len(sentences(b.codes)):
+            out += [(-1, "")] * len(sentences(b.codes))
             continue
-        line = rest[0]
-        count = len(_WORD.findall(line)) if said else len(block.words)
-        words += count
-        prose += count if count >= 22 or count >= 12 and line.rstrip("\"'»”“’)")[-1:] in ".!…" else 0
-        other.append(line)
-    missing = MISSING.findall(text) if ("undefined" in text or "null" in text or "NaN" in text or "None" in text or "[object" in text or "nil" in text) else []
-    if missing:
-        for raw in text.split("\n"):
-            for near, values in _around(raw):
-                low = _mask(tidy(near))
-                code = any(c in near for c in "{};=(|") and "[object" not in near
-                talk = bool(_QUOTING.search(low))
-                share = len(values) / max(1, len(near.split()))
-                word = len(values) == 1 and values[0] in ("None", "null", "nil") and share < 0.08
-                weak = 0 if code or talk or word else 1 if share >= 0.08 or len(values) >= 2 else -1
-                out.append(Window("missing", low, len(low.split()), weak, (("code",) * code + ("talk",) * talk + ("word",) * word or ("plain",)) + ("dense",) * (share >= 0.15)))
-    if not spoken and not other:
-        other = [b.text for b in blocks if not b.cue]  # nothing but what looks like site furniture
-    tokens = re.findall(r"[^\W\d_]+", fold(" ".join(other)))
-    filler = sum(t in _FILLER for t in tokens) / len(tokens) if tokens else 0.0
-    sentences = [x for x in re.split(r"[.!?]\s+|\n", "\n".join(spoken + other).rstrip(".!?")) if x]
-    again = len(sentences) >= 4 and len(set(sentences)) <= 0.6 * len(sentences)
-    if blocks and (spoken or words <= THIN_WORDS or filler >= 0.08 or again):
-        low = _mask(" ".join(spoken) + " \n " + " ".join(other))
-        dummy = bool(_DUMMY.search(low))
-        size = "tiny" if prose <= 12 else "small" if prose <= 45 else "thin" if prose <= THIN_WORDS else "full"
-        if filler >= 0.12 or (spoken or dummy) and prose <= 45:
-            weak = 1
-        elif not spoken and not dummy and filler < 0.05 or prose > 2 * THIN_WORDS:
-            weak = 0
-        else:
-            weak = -1
-        out.append(Window("page", low, words, weak, (size, "spoken" if spoken else "silent") + (f"spoken {size}",) * bool(spoken) + ("dummy",) * dummy + ("again",) * again + (f"filler{int(filler * 10)}",)))
-    if title:
-        low = _mask(tidy(title))
-        count = len(low.split())
-        status, hole = bool(_STATUS.search(low)), "\x01" in low
-        empty = prose <= 45
-        weak = 1 if hole or low.strip() in ("\x02", "") or status and empty else 0 if not status or prose > 2 * THIN_WORDS else -1
-        extra = ("short",) * (count <= 4) + (f"status {'empty' if empty else 'full'}",) * status + ("hole",) * hole + ("empty" if empty else "full",)
-        if hole:  # what else a title says is no evidence beside a hole in it
-            low = re.sub(r"[^\W\d_]+(?:[^\S\x01]+[^\W\d_]+)*", "word", low)
-        out.append(Window("title", low, count, weak, extra))
-    return out
-
-
-def features_of(window: Window) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a window and their values, of length 1: word 1- to 3-grams, and with more weight length and title features."""
-    tokens = _TOKEN.findall(window.text)
-    tokens = ["0" if t.isdigit() and len(t) != 3 else t for t in tokens]
-    space = window.kind[0]
-    names = [f"{space}!{x}" for x in window.extra]
-    names += [f"{space}#len{min(9, window.words.bit_length())}", f"{space}#bias"]
-    heavy = len(names)
-    names += [f"{space}:{a}" for a in tokens]
-    names += [f"{space}:{a} {b}" for a, b in zip(tokens, tokens[1:])]
-    names += [f"{space}:{a} {b} {c}" for a, b, c in zip(tokens, tokens[1:], tokens[2:])]
-    at = np.fromiter((zlib.crc32(x.encode()) & (DIMENSIONS - 1) for x in names), np.int64, len(names))
-    values = np.ones(len(names))
-    values[:heavy] = SIGN_WEIGHT
-    if len(names) - heavy > GRAMS:  # n-grams of a long window together weigh no more than so many, or its signs would not count
-        values[heavy:] = np.sqrt(GRAMS / (len(names) - heavy))
-    at, first = np.unique(at, return_index=True)
-    values = values[first]
-    return at, values / np.sqrt((values * values).sum())
-
-
-def fit_linear(examples: list[tuple], labels: np.ndarray, epochs: int = 12, rate: float = 0.35, l2: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """L2-regularised logistic regression by AdaGrad; the last weight is the intercept. Classes are balanced."""
-    weights = np.zeros(DIMENSIONS + 1)
-    if not len(examples):
-        weights[-1] = -1.0
-        return weights.astype(np.float32)
-    square = np.full(DIMENSIONS + 1, 1e-6)
-    share = float(np.clip(labels.mean(), 0.02, 0.98))
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for k in order.permutation(len(examples)):
-            at, x = examples[k]
-            p = 1.0 / (1.0 + np.exp(-np.clip(x @ weights[at] + weights[-1], -30, 30)))
-            error = (p - labels[k]) * (0.5 / share if labels[k] else 0.5 / (1 - share))
-            gradient = error * x + l2 * weights[at]
-            square[at] += gradient * gradient
-            weights[at] -= rate * gradient / np.sqrt(square[at])
-            square[-1] += error * error
-            weights[-1] -= rate * error / np.sqrt(square[-1])
-    return weights.astype(np.float32)
-
-
-def score_window(window: Window, weights: np.ndarray) -> float:
-    at, x = features_of(window)
-    return float(x @ weights[at] + weights[-1])
-
-
-#: Prior of the weak labels: the score a window must exceed that they take for residue, have no say on, or take for none.
-MARGINS = {1: -1.5, -1: 0.0, 0: 1.0}
-
-
-def is_evidence(window: Window, weights: np.ndarray) -> bool:
-    """Whether the classifier takes a window for residue, with the weak labels as a prior."""
-    return score_window(window, weights) > MARGINS[window.weak]
-
-
-def is_residue(title: str | None, text: str | None, blocks: list[Block], weights: np.ndarray) -> bool:
-    """Whether any window of the record is taken for residue; a record without title and text has no window."""
-    return any(is_evidence(w, weights) for w in windows_of(title, text, blocks))
+        for raw, kind in parts:
+            label = weak_label(raw, kind, size)
+            out.append((label, phrase_of(raw) or kind if kind in ("dummy", "notice") else kind))
+            whole = whole or label == 1 and (kind != "hole" or size == 0)
+    return [(-1 if whole and y == 0 and not p else y, p) for y, p in out]
+
+
+def are_residue(pages: list[tuple[str | None, list[Block]]], weights: np.ndarray) -> np.ndarray:
+    """Whether the classifier takes the title or a sentence of each page for residue; a page without both is none."""
+    codes, signs, owner = [], [], []
+    for k, (title, blocks) in enumerate(pages):
+        c, s = judged(title, blocks)
+        codes += c
+        signs += s
+        owner += [k] * len(c)
+    (scores,) = score(Stretches(codes, signs), weights)
+    return np.bincount(np.array(owner, np.int64), scores > 0, minlength=len(pages)) > 0

@@ -23,8 +23,8 @@ PROSE, LIST, LINKS, TAGS, MENU, JUNK = range(6)
 STATES = ("prose", "list", "links", "tags", "menu", "junk")
 #: Number of values of each sign, in the order of `signs_of`.
 SIGNS = (4, 5, 7, 5, 5, 3, 4, 4)
-#: Share of body words in links or tags from which a page is stuffed, and words a body must have.
-STUFFED_SHARE, LEAST_WORDS = 0.5, 6
+#: Share of body words in links or tags from which a page is stuffed.
+STUFFED_SHARE = 0.5
 
 _SEPARATOR = re.compile(r"[#,;|/·•!]|\s[-–—]\s")
 _SYMBOL = re.compile(r"[^\w\s#,|;/·•!\-–—.'’\"()?:%&«»“”„…]|[\u00c2\u00c3\u00e2\ufffd](?=[^a-zà-ÿ\s]|[\u00c2\u00c3])")
@@ -138,17 +138,22 @@ def _estimate(pages: list[tuple[np.ndarray, np.ndarray]], smooth: float = 0.5) -
     return LineModel(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), [np.log(t / t.sum(1, keepdims=True)) for t in emit])
 
 
-def fit_line_model(pages: Iterable[list[Block]], rounds: int = 2) -> LineModel:
-    """Train on pages whose blocks are marked: weak labels first, then hard re-estimation on the decoded states,
-    where a weak label, if there is one, is kept. Each page is also shown with its markup withheld, so that pages
-    without markup are read from the shape of their lines."""
+def read_signs(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """The signs of a page's lines, a row a line, and the weak guesses at their states."""
+    rows = [signs_of(b, r) for b, r in zip(blocks, repetition(blocks))]
+    return np.array(rows, np.int64).reshape(-1, len(SIGNS)), np.array([weak_state(b, s) for b, s in zip(blocks, rows)], np.int64)
+
+
+def fit_line_model(pages: Iterable[tuple[bytes, bytes]], rounds: int = 2) -> LineModel:
+    """Train on the signs and weak guesses of pages, one byte each: first on the guesses, then by hard re-estimation
+    on the decoded states, where a guess, if there is one, is kept. Each page is also shown with its markup withheld,
+    so that pages without markup are read from the shape of their lines."""
     signs, weak = [], []
-    for blocks in pages:
-        if not blocks:
+    for lines, guesses in pages:
+        guess = np.frombuffer(guesses, np.int8).astype(np.int64)
+        if not len(guess):
             continue
-        rows = [signs_of(b, r) for b, r in zip(blocks, repetition(blocks))]
-        guess = np.array([weak_state(b, s) for b, s in zip(blocks, rows)], np.int64)
-        seen = np.array(rows, np.int64)
+        seen = np.frombuffer(lines, np.int8).astype(np.int64).reshape(-1, len(SIGNS))
         bare = seen.copy()
         bare[:, 0] = 0
         signs += [seen, bare]
@@ -166,7 +171,7 @@ def states_of(blocks: list[Block], model: LineModel) -> np.ndarray:
 
 
 #: Rules of site furniture that say nothing about a line being a link of the page itself.
-FURNITURE = frozenset(("container", "consent", "share", "subscribe", "advert", "related", "pointer", "tags", "comments", "navigation", "legal", "scripts", "author", "site", "menu", "title"))
+FURNITURE = frozenset(("container", "words", "related", "author", "site", "menu", "title"))
 
 
 def body_flags(blocks: list[Block]) -> list[bool]:
@@ -174,7 +179,7 @@ def body_flags(blocks: list[Block]) -> list[bool]:
     out, listed = [], False
     for b in blocks:
         if b.why in FURNITURE or (b.mark == BAD and b.role < 0):
-            listed = b.why == "related" or listed and b.why in ("pointer",)
+            listed = b.why == "related"
             out.append(False)
         elif listed and (b.link >= 0.5 or b.mark == BAD):
             out.append(False)
@@ -192,4 +197,4 @@ def is_stuffed(blocks: list[Block], states: np.ndarray, body: list[bool]) -> boo
             n = max(1, len(b.words))
             total += n
             spam += n if state in (LINKS, TAGS) else 0
-    return total >= LEAST_WORDS and spam >= STUFFED_SHARE * total
+    return total > 0 and spam >= STUFFED_SHARE * total

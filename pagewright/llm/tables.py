@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +23,46 @@ def tune(spark: SparkSession) -> None:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it again: it is computed once and survives lost executors."""
+    """Write ``df`` as a table in the shared checkpoint folder and read it again: it is computed once and survives lost executors.
+
+    The driver removes the table when its JVM ends; until then any query may read it.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
 
 
+#: What has been fitted or staged in this session, by what it was made from; the oldest is forgotten first.
+_MADE: OrderedDict = OrderedDict()
+MOST_MADE = 16
+
+
+def fingerprint(spark: SparkSession, base: str, *names: str) -> tuple:
+    """What tells the present state of tables apart: application, path, bytes, files, and time of the last change."""
+    out: list = [spark.sparkContext.applicationId, base]
+    for name in names:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}.parquet")
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = files.getContentSummary(where)
+        out += [size.getLength(), size.getFileCount(), files.getFileStatus(where).getModificationTime()]
+    return tuple(out)
+
+
+def once(spark: SparkSession, key: tuple, make):
+    """``make()``, or what it gave before for the same key."""
+    if key not in _MADE:
+        _MADE[key] = make()
+        while len(_MADE) > MOST_MADE:
+            _MADE.popitem(last=False)
+    return _MADE[key]
+
+
 def common_words(spark: SparkSession, base: str) -> dict[str, frozenset]:
     """The frequent words of each language; collected, as the table is small and fixed (checked)."""
     out: dict[str, set] = {}
@@ -47,11 +78,14 @@ def site_of(url: Column) -> Column:
     return F.regexp_replace(host, r"^(?:www|m|amp)\.", "")
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, most_chars: int, text: str) -> list:
-    """About ``rows`` rows chosen by a hash of ``key``, for fitting a model on the driver; texts beyond ``most_chars`` are left to the fitted model."""
-    total = df.count()
-    if not total:
-        return []
-    every = max(1, total // rows)
-    chosen = df.where((F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(every)) == 0) & (F.length(F.coalesce(F.col(text), F.lit(""))) <= most_chars))
-    return chosen.limit(2 * rows).collect()
+def bounded_sample(df: DataFrame, key: str, rows: int, most: dict[str, int]) -> DataFrame:
+    """About ``rows`` rows, at most twice as many, chosen by a hash of ``key``, for fitting a model.
+
+    Rows with a text longer than ``most`` gives for its column are left to the fitted model.
+    """
+    share = rows / max(rows, df.count())
+    short = F.lit(True)
+    for column, size in most.items():
+        short = short & (F.length(F.coalesce(F.col(column), F.lit(""))) <= size)
+    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
+    return df.where(drawn & short).limit(2 * rows)
