@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from pagewright.llm.lexicon import fold, tidy, visible
-from pagewright.llm.linear import codes_of, tokens_of
+from pagewright.llm.linear import STOP, codes_of, tokens_of
 
 GOOD, BAD, OPEN, HEAD, ITEM = 1, -1, 0, 2, 3
 #: Block rules: characters below which a block is short, above which it is long; stop-word densities; link density.
@@ -64,6 +64,8 @@ class Block:
     low: str  #: folded
     words: list
     codes: list  #: token hashes
+    digits: int
+    marks: int  #: signs that are no letter, digit or white space, but for those inside words
     stop: float  #: share of common words
     link: float  #: share of characters inside links; -1 without markup
     role: int  #: 1 in a main container, -1 in site furniture, 0 unknown
@@ -252,6 +254,11 @@ def blocks_of(text: str | None, markup: str | None, stopwords: frozenset) -> lis
         low = fold(line)
         tokens = tokens_of(low)
         words = [t for t in tokens if t[0].isalpha()]
+        digits = marks = 0
+        if len(words) < len(tokens):
+            figures = [t for t in tokens if t[0].isdigit()]
+            digits = len("".join(figures))
+            marks = len(tokens) - len(words) - len(figures) - tokens.count(STOP)
         stop = len([w for w in words if w in stopwords]) / len(words) if words else 0.0
         link, role, tag, box = -1.0, 0, "", -1
         if page is not None:
@@ -260,7 +267,7 @@ def blocks_of(text: str | None, markup: str | None, stopwords: frozenset) -> lis
             if at >= 0:
                 link, role, tag, box = page.describe(at, len(piece))
                 cursor = at + len(piece)
-        out.append(Block(number, line, low, words, codes_of(tokens), stop, link, role, tag, box))
+        out.append(Block(number, line, low, words, codes_of(tokens), digits, marks, stop, link, role, tag, box))
     return out
 
 
@@ -269,7 +276,7 @@ def _menu_runs(blocks: list[Block]) -> None:
     k = 0
     while k < len(blocks):
         j = k
-        while j < len(blocks) and len(blocks[j].words) <= 3 and len(blocks[j].text) <= 28 and not _SENTENCE_END.search(blocks[j].text) and not _BULLET.match(blocks[j].text) and not any(c.isdigit() for c in blocks[j].text) and blocks[j].role <= 0:
+        while j < len(blocks) and len(blocks[j].words) <= 3 and len(blocks[j].text) <= 28 and not _SENTENCE_END.search(blocks[j].text) and not _BULLET.match(blocks[j].text) and not blocks[j].digits and blocks[j].role <= 0:
             j += 1
         if j - k >= 3:
             for b in blocks[k:j]:
@@ -279,7 +286,7 @@ def _menu_runs(blocks: list[Block]) -> None:
 
 def _is_menu_line(b: Block) -> bool:
     parts = _SEPARATED.split(b.text)
-    return len(parts) >= 3 and len(b.words) <= 2.2 * len(parts) and b.stop < 0.34 and not any(c.isdigit() for c in b.text)
+    return len(parts) >= 3 and len(b.words) <= 2.2 * len(parts) and b.stop < 0.34 and not b.digits
 
 
 def _adjacent(blocks: list[Block], k: int) -> bool:

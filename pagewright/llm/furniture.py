@@ -37,7 +37,7 @@ def signs_of(b: Block, site: str, people: list[str]) -> tuple[int, ...]:
         out.append(170)
     if any(p in b.low for p in people):
         out.append(171)
-    if _DATED.search(b.low):
+    if b.digits and _DATED.search(b.low):
         out.append(172)
     head = _HEAD.match(b.low).group()
     out.append(zlib.crc32(" ".join(head.split()[:2]).encode("utf-8", "surrogatepass")))

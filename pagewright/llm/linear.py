@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -23,13 +24,14 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\x1e|[^\w\s]|_")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)|(?<=[.!?…][\"'»“”’)\]])\s+(?=\S)")
 #: Tokens whose hashes are remembered at a time.
 MOST_KNOWN = 200_000
-END = 0x9E3779B1
+#: The token that ends a sentence, and its hash.
+STOP, END = "\x1e", 0x9E3779B1
 
 _known: dict[str, int] = {}
 
 
 def _hash(token: str) -> int:
-    if token == "\x1e":
+    if token == STOP:
         code = END
     elif token[0].isdigit():
         code = zlib.crc32(token.encode()) if len(token) == 3 else zlib.crc32(b"0")
@@ -43,7 +45,7 @@ def _hash(token: str) -> int:
 
 def tokens_of(low: str) -> list[str]:
     """The tokens of a folded line, the ends of its sentences as \\x1e."""
-    return TOKEN.findall(_SENTENCE.sub("\x1e", low))
+    return TOKEN.findall(_SENTENCE.sub(STOP, low))
 
 
 def codes_of(tokens: list[str]) -> list[int]:
@@ -57,7 +59,7 @@ class Stretches:
     def __init__(self, codes: Iterable[list[int]], signs: Iterable[tuple[int, ...]]):
         lists, extra = list(codes), list(signs)
         sizes, sign_sizes = (np.fromiter(map(len, x), np.int32, len(x)) for x in (lists, extra))
-        self._set(np.fromiter((c for x in lists for c in x), np.uint64, int(sizes.sum())), sizes, np.fromiter((c for x in extra for c in x), np.uint64, int(sign_sizes.sum())), sign_sizes)
+        self._set(np.fromiter(chain.from_iterable(lists), np.uint64, int(sizes.sum())), sizes, np.fromiter(chain.from_iterable(extra), np.uint64, int(sign_sizes.sum())), sign_sizes)
 
     @classmethod
     def flat(cls, codes: np.ndarray, sizes: np.ndarray, signs: np.ndarray, sign_sizes: np.ndarray) -> Stretches:

@@ -54,7 +54,6 @@ INPUTS = ("title", "text_content", "cleaned_html", "byline", "author", "site_nam
 
 _BY = re.compile(r"^(?:by|von|par|por)\s+", re.I)
 _END = re.compile(r"[.!?…][\"'»“”’)\]]*$")
-_SYMBOL = re.compile(r"[^\w\s]|_")
 _LANG = re.compile(r"^([a-z]{2,3})(?:[-_].*)?$")
 
 
@@ -149,7 +148,7 @@ def facts_of(page: Page, residue: bool, models: PageModels) -> tuple:
         common += b.stop * n
         letters += sum(map(len, b.words))
         chars += len(b.text)
-        symbols += len(_SYMBOL.findall(b.text))
+        symbols += b.marks
         ended += bool(_END.search(b.text))
         lines += 1
     of = max(1, words)

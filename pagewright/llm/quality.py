@@ -3,7 +3,8 @@
 A KLL sketch of each statistic is built per language (partial sketches merge, so no group
 is ever gathered), medians and half-spreads are read from it, and each page's values become
 percentiles and robust z-scores. Pages in the distribution tails are flagged: few common
-words; fewer common words along with unusual word lengths; or very many symbols. A short
+words; fewer common words along with unusual word lengths; very many symbols; few words in
+lines of prose, alone or along with few punctuated lines. A short
 body varies more by chance, so its z-scores allow for the sampling error of its length.
 """
 
@@ -13,29 +14,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.pages import staged_facts
-from pagewright.llm.tables import read_table
+from pagewright.llm.tables import bounded_rows, read_table
 
 STATISTICS = ("common_word_share", "mean_word_length", "symbol_ratio", "punct_line_share", "prose_word_share", "body_words")
-#: A language with fewer pages is placed in the distribution of all languages.
-LEAST_PAGES = 50
-#: Ranks kept of each sketch for turning values into percentiles.
-RANKS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99, 0.995)
-#: Smallest scale of each statistic that enters a z-score.
-FLOORS = {"common_word_share": 0.012, "mean_word_length": 0.08, "symbol_ratio": 0.004, "punct_line_share": 0.1, "prose_word_share": 0.05, "body_words": 1.0}
-#: Tail rules: z of common words alone; of common words with word length; of symbols.
-Z_COMMON, Z_COMMON_LENGTH, Z_LENGTH, Z_SYMBOLS = -5.0, -2.2, 4.0, 12.0
-#: Standard deviation of the length of a word, for the sampling error of its mean.
-WORD_SD = 2.5
+#: Ranks kept of each sketch, close enough together for values between them to be placed by a straight line.
+RANKS = tuple(k / 200 for k in range(1, 200))
+#: A language's quantiles are drawn towards those of all languages as if it had so many pages of them beside its own.
+PRIOR_PAGES = 50.0
+#: Language codes have two or three letters (or are 'und'), so there are never more rows of quantiles than this.
+MOST_LANGUAGES = 26**2 + 26**3 + 1
+#: Smallest scale of each statistic that enters a z-score: what two bodies of prose differ by at least.
+FLOORS = {"common_word_share": 0.012, "mean_word_length": 0.08, "symbol_ratio": 0.004, "punct_line_share": 0.1, "prose_word_share": 0.05}
+#: Tail rules: z of common words alone; of common words with word length; of symbols; of prose words alone; of prose words with punctuated lines.
+#: Set so that a sketch's error (1.4 % of the ranks) and the sampling error of a body of 40 words do not reach them.
+Z_COMMON, Z_COMMON_LENGTH, Z_LENGTH, Z_SYMBOLS, Z_PROSE, Z_PROSE_PUNCT, Z_PUNCT = -5.0, -2.2, 4.0, 12.0, -9.0, -6.5, -2.0
+#: Standard deviation of the length of a word, for the sampling error of its mean; words of a line, for that of shares of lines.
+WORD_SD, LINE_WORDS = 2.5, 12.0
 
 
 def sketch_quantiles(facts: DataFrame) -> DataFrame:
-    """For each language (and '*' for all): number of pages and for each statistic its quantiles at `RANKS`."""
+    """For each language: number of pages and for each statistic its quantiles at `RANKS`, drawn towards all languages by `PRIOR_PAGES`.
+
+    Partial sketches merge per language and again over languages; only quantiles, a bounded number of rows, reach the driver.
+    """
+    spark = facts.sparkSession
     bodies = facts.where(F.col("body_words") > 0)
     per = bodies.groupBy("base_lang").agg(F.count("*").alias("pages"), *(F.kll_sketch_agg_double(F.col(s).cast("double")).alias(s) for s in STATISTICS))
     everything = per.agg(F.lit("*").alias("base_lang"), F.sum("pages").alias("pages"), *(F.kll_merge_agg_double(s).alias(s) for s in STATISTICS)).where("pages > 0")
     ranks = F.array(*(F.lit(float(r)) for r in RANKS))
-    both = per.unionByName(everything)
-    return both.select("base_lang", "pages", *(F.kll_sketch_get_quantile_double(F.col(s), ranks).alias(s) for s in STATISTICS))
+    read = per.unionByName(everything).select("base_lang", "pages", *(F.kll_sketch_get_quantile_double(F.col(s), ranks).alias(s) for s in STATISTICS))
+    rows = {r["base_lang"]: r for r in bounded_rows(read, MOST_LANGUAGES + 1, "languages")}
+    whole = rows.pop("*", None)
+
+    def drawn(row, name: str) -> list[float]:
+        own = row["pages"] / (row["pages"] + PRIOR_PAGES)
+        return [own * a + (1 - own) * b for a, b in zip(row[name], whole[name])]
+
+    out = [(code, row["pages"], *(drawn(row, s) for s in STATISTICS)) for code, row in rows.items()]
+    return spark.createDataFrame(out, "base_lang string, pages long, " + ", ".join(f"{s} array<double>" for s in STATISTICS))
 
 
 def _at(quantiles: Column, rank: float) -> Column:
@@ -43,15 +59,11 @@ def _at(quantiles: Column, rank: float) -> Column:
 
 
 def place(facts: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """Facts with the quantiles of their language (or of all languages where it has under `LEAST_PAGES` pages), z-scores and percentiles.
+    """Facts with z-scores and percentiles in the distribution of their language.
 
-    ``quantiles`` has at most one row per language code, so it is broadcast.
+    ``quantiles`` is a local table of known size, so Catalyst broadcasts it only below its threshold.
     """
-    own = quantiles.where(F.col("base_lang") != "*").select("base_lang", F.struct("pages", *STATISTICS).alias("own"))
-    every = quantiles.where(F.col("base_lang") == "*").select(F.col("base_lang").alias("whole"), F.struct("pages", *STATISTICS).alias("every"))
-    joined = facts.withColumn("whole", F.lit("*")).join(F.broadcast(own), "base_lang", "left").join(F.broadcast(every), "whole", "left")
-    q = F.when(F.col("own.pages") >= LEAST_PAGES, F.col("own")).otherwise(F.col("every"))
-    joined = joined.withColumn("q", q)
+    joined = facts.join(quantiles.select("base_lang", F.struct("pages", *STATISTICS).alias("q")), "base_lang", "left")
     words, chars = F.greatest(F.col("body_words"), F.lit(1)), F.greatest(F.col("body_chars"), F.lit(1))
 
     def z(name: str, low_side: bool, error: Column) -> Column:
@@ -70,18 +82,20 @@ def place(facts: DataFrame, quantiles: DataFrame) -> DataFrame:
             "z_common": z("common_word_share", False, share_error("common_word_share", words)),
             "z_length": z("mean_word_length", True, F.lit(WORD_SD * WORD_SD) / words),
             "z_symbols": z("symbol_ratio", True, share_error("symbol_ratio", chars)),
-            "z_punct": z("punct_line_share", False, F.lit(0.0)),
+            "z_punct": z("punct_line_share", False, share_error("punct_line_share", words / LINE_WORDS)),
+            "z_prose": z("prose_word_share", False, share_error("prose_word_share", words / LINE_WORDS)),
         }
     )
-    for name in ("common_word_share", "mean_word_length", "symbol_ratio", "punct_line_share"):
-        out = out.withColumn(f"pct_{name}", _percentile(F.col(name), F.col("q")[name]))
-    return out.drop("q", "own", "every", "whole")
+    return out.withColumns({f"pct_{name}": _percentile(F.col(name).cast("double"), F.col("q")[name]) for name in STATISTICS}).drop("q")
 
 
 def _percentile(value: Column, quantiles: Column) -> Column:
+    """The rank of a value among the quantiles, by a straight line between the two it lies between; null without quantiles."""
     below = F.size(F.filter(quantiles, lambda x: x <= value))
-    ranks = F.array(*(F.lit(float(r)) for r in (0.0, *RANKS)))
-    return F.element_at(ranks, below + F.lit(1))
+    low, high = F.element_at(quantiles, F.greatest(below, F.lit(1))), F.element_at(quantiles, F.least(below + 1, F.lit(len(RANKS))))
+    part = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
+    step = F.lit(1.0 / (len(RANKS) + 1))
+    return F.when(quantiles.isNull(), F.lit(None)).when(below == 0, F.lit(0.0)).when(below == len(RANKS), F.lit(1.0)).otherwise((below + part) * step)
 
 
 def tail() -> Column:
@@ -89,7 +103,8 @@ def tail() -> Column:
     few = F.col("z_common") <= Z_COMMON
     odd = (F.col("z_common") <= Z_COMMON_LENGTH) & (F.abs(F.col("z_length")) >= Z_LENGTH)
     symbols = F.col("z_symbols") >= Z_SYMBOLS
-    return (F.col("body_words") > 0) & F.coalesce(few | odd | symbols, F.lit(False)) | (F.col("body_words") == 0) & (F.col("body_chars") >= 20)
+    broken = (F.col("z_prose") <= Z_PROSE) | (F.col("z_prose") <= Z_PROSE_PUNCT) & (F.col("z_punct") <= Z_PUNCT)
+    return (F.col("body_words") > 0) & F.coalesce(few | odd | symbols | broken, F.lit(False)) | (F.col("body_words") == 0) & (F.col("body_chars") >= 20)
 
 
 def flagged(facts: DataFrame) -> DataFrame:
@@ -117,5 +132,5 @@ def p1_stats(spark: SparkSession, base: str) -> DataFrame:
         .groupBy("url")
         .agg(F.max_by(F.struct(F.col("diagnostics.avg_sentence_length").alias("audit_avg_sentence_length"), F.col("diagnostics.paragraphs").alias("audit_paragraphs")), F.struct("audited_at", "audit_id")).alias("audit"))
     )
-    numbers = [*STATISTICS, "z_common", "z_length", "z_symbols", "z_punct", "pct_common_word_share", "pct_mean_word_length", "pct_symbol_ratio", "pct_punct_line_share"]
+    numbers = [*STATISTICS, "z_common", "z_length", "z_symbols", "z_punct", "z_prose", *(f"pct_{s}" for s in STATISTICS)]
     return flagged(facts).join(audits, "url", "left").select("result_id", "base_lang", *numbers, "not_prose", "audit.audit_avg_sentence_length", "audit.audit_paragraphs")

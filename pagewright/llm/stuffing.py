@@ -26,9 +26,9 @@ SIGNS = (4, 5, 7, 5, 5, 3, 4, 4)
 #: Share of body words in links or tags from which a page is stuffed.
 STUFFED_SHARE = 0.5
 
-_SEPARATOR = re.compile(r"[#,;|/·•!]|\s[-–—]\s")
+_SEPARATORS, _DASH = "#,;|/·•!", re.compile(r"\s[-–—]\s")
 _SYMBOL = re.compile(r"[^\w\s#,|;/·•!\-–—.'’\"()?:%&«»“”„…]|[\u00c2\u00c3\u00e2\ufffd](?=[^a-zà-ÿ\s]|[\u00c2\u00c3])")
-_DIGIT = re.compile(r"\d")
+_MOJIBAKE = re.compile(r"[\u00c2\u00c3\u00e2\ufffd]")
 _END = re.compile(r"[.!?…][\"'»“”’)\]]*$")
 _URL = re.compile(r"(?:https?://|www\.)\S|^\S+\.(?:com|org|net|info|invalid|test|example)(?:/\S*)?$")
 
@@ -39,22 +39,27 @@ def signs_of(b: Block, repeated: float) -> tuple[int, ...]:
     link = 0 if b.link < 0 else 1 if b.link < 0.05 else 2 if b.link < 0.5 else 3
     stop = 0 if b.stop == 0 else 1 if b.stop < 0.1 else 2 if b.stop < 0.2 else 3 if b.stop < 0.3 else 4
     size = 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3 if n <= 12 else 4 if n <= 24 else 5 if n <= 48 else 6
-    rate = len(_SEPARATOR.findall(b.text)) / max(1, n)
+    rate = separators(b) / max(1, n)
     sep = 0 if rate == 0 else 1 if rate < 0.12 else 2 if rate < 0.25 else 3 if rate < 0.45 else 4
     rep = 0 if repeated < 0.2 else 1 if repeated < 0.4 else 2 if repeated < 0.6 else 3 if repeated < 0.8 else 4
     end = 0 if _END.search(b.text) else 1 if b.text[:1].isupper() else 2
-    digits = len(_DIGIT.findall(b.text))
-    kind = 3 if _URL.search(b.low) else 2 if digits > 0.25 * len(b.text) or n == 0 else 1 if digits else 0
+    kind = 3 if b.marks and _URL.search(b.low) else 2 if b.digits > 0.25 * len(b.text) or n == 0 else 1 if b.digits else 0
     return link, stop, size, sep, rep, end, kind, strangeness(b)
 
 
+def separators(b: Block) -> int:
+    """Commas, bars and the like, and dashes set apart by white space."""
+    if not b.marks:
+        return 0
+    return sum(map(b.text.count, _SEPARATORS)) + len(_DASH.findall(b.text))
+
+
 def strangeness(b: Block) -> int:
     """1 letters set apart, 2 many symbols, 3 overlong words, 0 none of these."""
     tokens = b.text.split(" ")
     if len(tokens) >= 6 and len(b.text) < 2.7 * len(tokens):
         return 1
-    symbols = len(_SYMBOL.findall(b.text))
-    if symbols > 0.05 * len(b.text) and len(b.text) > 8:
+    if len(b.text) > 8 and (b.marks > 0.05 * len(b.text) or not b.text.isascii() and _MOJIBAKE.search(b.text)) and len(_SYMBOL.findall(b.text)) > 0.05 * len(b.text):
         return 2
     return 3 if max(map(len, tokens)) > 30 and not _URL.search(b.low) else 0
 
