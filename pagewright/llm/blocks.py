@@ -23,6 +23,9 @@ GOOD, BAD, OPEN, HEAD, ITEM = 1, -1, 0, 2, 3
 #: Block rules: characters below which a block is short, above which it is long; stop-word densities; link density.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKED = 70, 200, 0.18, 0.28, 0.5
 
+#: Score as furniture above which even a line in a main container is.
+IN_MAIN = 1.0
+
 #: A page is searched as plain text for so many times its length in all, then by an index with the same answers.
 SCANS = 64
 
@@ -312,9 +315,9 @@ def mark_blocks(blocks: list[Block], title: str | None, names: tuple, site_name:
             b.mark, b.why = GOOD, "title"
         elif b.role < 0:
             b.mark, b.why = BAD, "container"
-        elif b.opens > 0:
+        elif b.opens > (IN_MAIN if b.role > 0 else 0):
             b.mark, b.why = BAD, "related"
-        elif b.cue > 0:
+        elif b.cue > (IN_MAIN if b.role > 0 else 0):
             b.mark, b.why = BAD, "words"
         elif _is_menu_line(b):
             b.mark, b.why = BAD, "menu"

@@ -3,7 +3,7 @@
 Two linear classifiers over hashed n-grams of a line: whether it is site furniture, and
 whether it opens a list of other pieces. Their labels come from pages that tell: lines in
 telling containers, lines that stand on several pages of one site, and lines with linked
-ones below them; lines in a main container are the counter-examples. So what pages with
+ones below them; all other lines are the counter-examples, at less weight. So what pages with
 markup say is applied to those without, and no list of phrases is kept.
 """
 
@@ -15,24 +15,24 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from pagewright.llm.blocks import LINKED, LONG, STOP_HIGH, Block
+from pagewright.llm.blocks import LINKED, Block
 from pagewright.llm.lexicon import fold, tidy
 from pagewright.llm.linear import Stretches, fit, score
 
 #: Pages of the sample, of one site, on which a line stands that counts as repeated.
 LEAST_PAGES = 3
-_ENDED = re.compile(r"[.!?…][\"'»“”’)\]]*$")
 _DATED = re.compile(r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[./]\d{1,2}[./]\d{4}\b")
 
 
+#: What a line that no markup places counts as a counter-example, against 1 of one in a main container.
+UNTOLD = 0.05
 #: How a line begins: its first words, and the kinds of their signs.
 _HEAD, _LETTERS, _NUMBER = re.compile(r".{0,48}"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
 def signs_of(b: Block, site: str, people: list[str]) -> tuple[int, ...]:
-    """Length, words, share of common words, ending, how the line begins, and whether the site, an author or a date is named."""
-    n = len(b.words)
-    out = [100 + len(b.text).bit_length(), 120 + n.bit_length(), 140 + int(b.stop * 10), 160 + bool(_ENDED.search(b.text))]
+    """How the line begins, and whether the site, an author or a date is named. Length and common words are left to the block rules."""
+    out = []
     if len(site) > 5 and site in b.low:
         out.append(170)
     if any(p in b.low for p in people):
@@ -52,26 +52,19 @@ def named(byline: str | None, author: str | None, site_name: str | None) -> tupl
 
 
 def labels_of(blocks: list[Block]) -> list[tuple[int, int]]:
-    """For each line its label by markup alone as furniture and as an opener: 1, 0, or -1 for none."""
+    """For each line its label by markup alone as furniture and as an opener: 1, 0, or -1 for none. What no markup tells is 0 until it is seen to be repeated."""
     out = []
     for k, b in enumerate(blocks):
         linked = b.link >= LINKED
         below = [x.link >= LINKED for x in blocks[k + 1 : k + 3]]
         opener = 1 if not linked and b.role < 0 and len(below) == 2 and all(below) and len(b.words) <= 8 else 0 if b.link >= 0 and not (below and below[0]) else -1
-        if linked:
-            own = -1
-        elif b.role < 0:
-            own = 1
-        elif b.role > 0 or len(b.text) >= LONG and b.stop >= STOP_HIGH:
-            own = 0
-        else:
-            own = -1
+        own = -1 if linked and b.role < 0 else 1 if b.role < 0 else 0
         out.append((own, opener))
     return out
 
 
-def fit_furniture(sites: list[str], counts: list[int], lines: Stretches, own: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The weights of both classifiers, from the lines of pages in their order: each page's site and number of lines, each line's labels.
+def fit_furniture(sites: list[str], counts: list[int], lines: Stretches, own: np.ndarray, opens: np.ndarray, main: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of both classifiers, from the lines of pages in their order: each page's site and number of lines, each line's labels and whether a main container holds it.
 
     Lines are alike if they differ in case, spacing or the digits of most numbers alone.
     """
@@ -82,7 +75,8 @@ def fit_furniture(sites: list[str], counts: list[int], lines: Stretches, own: np
     for site, start, stop in zip(sites, bounds, bounds[1:]):
         seen[site].update(set(keys[start:stop]))
     repeated = np.array([seen[site][key] >= LEAST_PAGES for site, start, stop in zip(sites, bounds, bounds[1:]) for key in keys[start:stop]], bool)
-    return fit(lines, np.where(repeated & (own != 0), 1, own)), fit(lines, opens)
+    labels = np.where(repeated & ~main, 1, own)
+    return fit(lines, labels, trust=np.where((labels == 0) & ~main, UNTOLD, 1.0)), fit(lines, opens)
 
 
 def score_lines(pages: list[tuple[list[Block], str, list[str]]], weights: tuple[np.ndarray, np.ndarray]) -> None:

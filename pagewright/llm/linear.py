@@ -113,11 +113,12 @@ def score(stretches: Stretches, *weights: np.ndarray) -> list[np.ndarray]:
     return [np.bincount(row, w[index] * value, minlength=stretches.rows) + float(w[-1]) for w in weights]
 
 
-def fit(stretches: Stretches, labels: np.ndarray, epochs: int = 10, batch: int = 512, rate: float = 0.5, l2: float = 2e-6, lift: float = 8.0, seed: int = 7) -> np.ndarray:
+def fit(stretches: Stretches, labels: np.ndarray, epochs: int = 10, batch: int = 512, rate: float = 0.5, l2: float = 2e-6, lift: float = 8.0, seed: int = 7, trust: np.ndarray | None = None) -> np.ndarray:
     """L2-regularised logistic regression by AdaGrad over small batches; the last weight is the intercept.
 
     A label of -1 is none. A case counts up to ``lift`` times a non-case where cases are
-    rare. Without any case the classifier takes nothing for a case.
+    rare; ``trust`` is what a label counts beside that. Without any case the classifier takes
+    nothing for a case.
     """
     weights = np.zeros(DIMENSIONS + 1, np.float32)
     labels = np.asarray(labels, np.float32)
@@ -130,6 +131,7 @@ def fit(stretches: Stretches, labels: np.ndarray, epochs: int = 10, batch: int =
     row, index, value = row[by], index[by], value[by]
     begin = np.searchsorted(row, np.arange(stretches.rows + 1))
     lift = min(lift, max(1.0, float((labels == 0).sum() / (labels == 1).sum())))
+    counts = np.where(labels > 0, lift, 1.0) * (1.0 if trust is None else trust)
     square = np.full(DIMENSIONS + 1, 1e-3, np.float32)
     random = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -142,10 +144,11 @@ def fit(stretches: Stretches, labels: np.ndarray, epochs: int = 10, batch: int =
             at, x = index[place], value[place]
             margin = np.bincount(own, weights[at] * x, minlength=len(rows)) + weights[-1]
             error = 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))) - labels[rows]
-            error *= np.where(labels[rows] > 0, lift, 1.0)
+            error *= counts[rows]
             gradient = np.bincount(at, error[own] * x, minlength=DIMENSIONS + 1).astype(np.float32)
             gradient[-1] = error.sum()
             gradient[:-1] += np.float32(l2 * len(rows)) * weights[:-1]
             square += gradient * gradient
             weights -= np.float32(rate) * gradient / np.sqrt(square)
+            weights[-1] = min(weights[-1], 0.0)  # what it knows nothing of is no case
     return weights

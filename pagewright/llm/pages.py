@@ -186,8 +186,8 @@ def _pack(codes: list[list[int]], signs: list[tuple[int, ...]]) -> tuple[bytes,
 
 
 _PACKED = "codes binary, sizes binary, signs binary, sign_sizes binary"
-LINE_ROW = f"site string, {_PACKED}, own binary, opens binary"
-SENTENCE_ROW = f"site string, {_PACKED}, labels binary, phrases array<string>, lines binary, guesses binary"
+LINE_ROW = f"site string, {_PACKED}, own binary, opens binary, main binary"
+SENTENCE_ROW = f"site string, nth double, {_PACKED}, labels binary, phrases array<string>, lines binary, guesses binary"
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -202,7 +202,7 @@ def line_examples(stop: frozenset):
             rows = []
             for (blocks, site, people), host in zip(parse(pages_of(frame), stop), frame["site"]):
                 labels = labels_of(blocks)
-                rows.append((host, *_pack([b.codes for b in blocks], [furniture_signs(b, site, people) for b in blocks]), _ints((x for x, _ in labels), np.int8), _ints((x for _, x in labels), np.int8)))
+                rows.append((host, *_pack([b.codes for b in blocks], [furniture_signs(b, site, people) for b in blocks]), _ints((x for x, _ in labels), np.int8), _ints((x for _, x in labels), np.int8), _ints((b.role > 0 for b in blocks), np.int8)))
             yield _frame(rows, LINE_ROW)
 
     return run
@@ -219,10 +219,10 @@ def sentence_examples(stop: frozenset, furniture: tuple[np.ndarray, np.ndarray])
             rows = []
             pages = pages_of(frame)
             mark(pages, stop, furniture)
-            for page, host in zip(pages, frame["site"]):
+            for page, host, nth in zip(pages, frame["site"], frame["nth"]):
                 kept = [(c, s, y, p) for c, s, (y, p) in zip(*judged(page.title, page.blocks), labelled(page.title, page.blocks)) if y >= 0 and (y or p or c[:1] == [TITLE] or sum(c) % PLAIN_SENTENCES == 0)]
                 signs, guesses = read_signs(page.blocks)
-                rows.append((host, *_pack([x[0] for x in kept], [x[1] for x in kept]), _ints((x[2] for x in kept), np.int8), [x[3] for x in kept], signs.astype(np.int8).tobytes(), guesses.astype(np.int8).tobytes()))
+                rows.append((host, nth, *_pack([x[0] for x in kept], [x[1] for x in kept]), _ints((x[2] for x in kept), np.int8), [x[3] for x in kept], signs.astype(np.int8).tobytes(), guesses.astype(np.int8).tobytes()))
             yield _frame(rows, SENTENCE_ROW)
 
     return run
@@ -247,10 +247,10 @@ class Sample:
 def read_sample(pages: DataFrame, stop: frozenset) -> Sample:
     """Stage the sampled rows, parse them on the executors, and fit the furniture classifiers that the block rules need."""
     chosen = bounded_sample(pages.select("result_id", "url", *INPUTS), "result_id", SAMPLE_ROWS, {"text_content": SAMPLE_CHARS, "cleaned_html": SAMPLE_MARKUP})
-    sample = spread(stage(chosen.select(site_of(F.col("url")).alias("site"), (F.xxhash64("result_id") / float(1 << 63)).alias("draw"), *INPUTS), "sample"))
-    some = sample.where(F.col("draw") < 2.0 * LINE_ROWS / SAMPLE_ROWS - 1.0)
+    sample = spread(stage(chosen.select(site_of(F.col("url")).alias("site"), "nth", *INPUTS), "sample"))
+    some = sample.where(F.col("nth") < LINE_ROWS)
     lines = some.mapInPandas(line_examples(stop), LINE_ROW).collect()  # at most 2 x LINE_ROWS rows
-    furniture = fit_furniture([r["site"] for r in lines], [len(r["own"]) for r in lines], stretches_of(lines), _joined(lines, "own", np.int8), _joined(lines, "opens", np.int8))
+    furniture = fit_furniture([r["site"] for r in lines], [len(r["own"]) for r in lines], stretches_of(lines), _joined(lines, "own", np.int8), _joined(lines, "opens", np.int8), _joined(lines, "main", np.int8) > 0)
     return Sample(furniture, sample.mapInPandas(sentence_examples(stop, furniture), SENTENCE_ROW).collect())  # at most 2 x SAMPLE_ROWS rows
 
 
@@ -260,8 +260,7 @@ def train(spark: SparkSession, base: str, pages: DataFrame) -> PageModels:
     stop = frozenset(w for own in words.values() for w in own)
     sample = read_sample(pages, stop)
     residue = fit(stretches_of(sample.sentences), _joined(sample.sentences, "labels", np.int8), epochs=16)
-    some = sample.sentences[: 2 * LINE_ROWS]
-    lines = fit_line_model([(r["lines"], r["guesses"]) for r in some[::2]] if len(some) > LINE_ROWS else [(r["lines"], r["guesses"]) for r in some])
+    lines = fit_line_model([(r["lines"], r["guesses"]) for r in sample.sentences if r["nth"] < LINE_ROWS])
     return PageModels(words, stop, sample.furniture, residue, lines)
 
 

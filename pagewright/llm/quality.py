@@ -20,7 +20,7 @@ STATISTICS = ("common_word_share", "mean_word_length", "symbol_ratio", "punct_li
 #: Ranks kept of each sketch, close enough together for values between them to be placed by a straight line.
 RANKS = tuple(k / 200 for k in range(1, 200))
 #: A language's quantiles are drawn towards those of all languages as if it had so many pages of them beside its own.
-PRIOR_PAGES = 50.0
+PRIOR_PAGES = 20.0
 #: Language codes have two or three letters (or are 'und'), so there are never more rows of quantiles than this.
 MOST_LANGUAGES = 26**2 + 26**3 + 1
 #: Smallest scale of each statistic that enters a z-score: what two bodies of prose differ by at least.
@@ -32,8 +32,8 @@ Z_COMMON, Z_COMMON_LENGTH, Z_LENGTH, Z_SYMBOLS, Z_PROSE, Z_PROSE_PUNCT, Z_PUNCT
 WORD_SD, LINE_WORDS = 2.5, 12.0
 
 
-def sketch_quantiles(facts: DataFrame) -> DataFrame:
-    """For each language: number of pages and for each statistic its quantiles at `RANKS`, drawn towards all languages by `PRIOR_PAGES`.
+def sketch_quantiles(facts: DataFrame, prior: float = PRIOR_PAGES) -> DataFrame:
+    """For each language: number of pages and for each statistic its quantiles at `RANKS`, drawn towards all languages as by ``prior`` pages of them.
 
     Partial sketches merge per language and again over languages; only quantiles, a bounded number of rows, reach the driver.
     """
@@ -47,7 +47,7 @@ def sketch_quantiles(facts: DataFrame) -> DataFrame:
     whole = rows.pop("*", None)
 
     def drawn(row, name: str) -> list[float]:
-        own = row["pages"] / (row["pages"] + PRIOR_PAGES)
+        own = row["pages"] / (row["pages"] + prior)
         return [own * a + (1 - own) * b for a, b in zip(row[name], whole[name])]
 
     out = [(code, row["pages"], *(drawn(row, s) for s in STATISTICS)) for code, row in rows.items()]

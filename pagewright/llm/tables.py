@@ -79,13 +79,12 @@ def site_of(url: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, most: dict[str, int]) -> DataFrame:
-    """About ``rows`` rows, at most twice as many, chosen by a hash of ``key``, for fitting a model.
+    """About ``rows`` rows, at most twice as many, chosen by a hash of ``key``, for fitting a model; ``nth`` is a row's place among all by that hash, roughly.
 
     Rows with a text longer than ``most`` gives for its column are left to the fitted model.
     """
-    share = rows / max(rows, df.count())
     short = F.lit(True)
     for column, size in most.items():
         short = short & (F.length(F.coalesce(F.col(column), F.lit(""))) <= size)
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))
-    return df.where(drawn & short).limit(2 * rows)
+    nth = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 40)) * (df.count() / float(1 << 40))
+    return df.withColumn("nth", nth).where((F.col("nth") < rows) & short).limit(2 * rows)

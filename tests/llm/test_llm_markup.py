@@ -3,10 +3,13 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from make import COMMON
 
+from pagewright.llm import furniture
 from pagewright.llm.blocks import BAD, GOOD, Markup, blocks_of, mark_blocks
+from pagewright.llm.linear import Stretches
 
 STOP = frozenset(w for v in COMMON.values() for w in v)
 PROSE = "The boats of the harbour came home late in the evening, and all of the village was on the quay to see them, as it had been for years and years."
@@ -72,18 +75,36 @@ NOTICES = [
 ]
 
 
+@pytest.fixture(scope="module")
+def learned():
+    """Furniture classifiers from pages whose markup tells notices from the piece."""
+    lines, labels, main = [], [], []
+    rng = random.Random(5)
+    for k in range(60):
+        notice = NOTICES[k % 3].replace("4711", str(k)).replace("Daily Quay", rng.choice(["Morning Tide", "Old Mill Gazette", "Market Post"])).replace("Harbour Papers", rng.choice(["Tide Press", "Mill House"]))
+        blocks = blocks_of(f"{PROSE} {k}.\n{notice}", f"<article><p>{PROSE} {k}.</p></article><footer>{notice}</footer>", STOP)
+        lines += blocks
+        labels += furniture.labels_of(blocks)
+        main += [b.role > 0 for b in blocks]
+    stretches = Stretches([b.codes for b in lines], [furniture.signs_of(b, "", []) for b in lines])
+    return furniture.fit_furniture([f"s{k}" for k in range(60)], [2] * 60, stretches, np.array([x for x, _ in labels]), np.array([y for _, y in labels]), np.array(main))
+
+
+def marked(learned, text, markup=None):
+    blocks = blocks_of(text, markup, STOP)
+    furniture.score_lines([(blocks, "", [])], learned)
+    mark_blocks(blocks, None, (), None)
+    return [b.mark for b in blocks]
+
+
 @pytest.mark.parametrize("notice", NOTICES)
 @pytest.mark.parametrize("markup", [False, True])
-def test_cues_of_long_lines(notice, markup):
-    assert len(notice) > 200
-    lines = [PROSE, notice, PROSE]
-    blocks = blocks_of("\n\n".join(lines), "".join(f"<div>{x}</div>" for x in lines) if markup else None, STOP)
-    mark_blocks(blocks, None, (), None)
-    assert [b.mark for b in blocks] == [GOOD, BAD, GOOD]
+@pytest.mark.parametrize("size", [100, 189, 190, 191, 230])
+def test_notices_of_any_length(learned, notice, markup, size):
+    lines = [PROSE, notice[:size], PROSE]
+    assert marked(learned, "\n\n".join(lines), "".join(f"<div>{x}</div>" for x in lines) if markup else None) == [GOOD, BAD, GOOD]
 
 
-def test_long_prose_with_a_cue_word_stays():
+def test_long_prose_with_a_cue_word_stays(learned):
     for line in (f"The baker of the village sold cookies and bread. {PROSE} {PROSE}", f"{PROSE} {PROSE} Then they would all ask about cookies and the newsletter."):
-        blocks = blocks_of(f"{PROSE}\n\n{line}\n\n{PROSE}", None, STOP)
-        mark_blocks(blocks, None, (), None)
-        assert [b.mark for b in blocks] == [GOOD] * 3
+        assert marked(learned, f"{PROSE}\n\n{line}\n\n{PROSE}") == [GOOD] * 3

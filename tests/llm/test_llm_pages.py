@@ -2,17 +2,21 @@
 
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from make import COMMON, write
 
-from pagewright.llm import lines, queries
+from pagewright.llm import furniture, lines, queries, residue
 from pagewright.llm.blocks import BAD, GOOD, blocks_of, mark_blocks
-from pagewright.llm.lexicon import INVISIBLE, cue_of, tidy
-from pagewright.llm.residue import features_of, fit_linear, windows_of
-from pagewright.llm.stuffing import LINKS, PROSE, SIGNS, LineModel, fit_line_model, states_of
+from pagewright.llm.filters import validate
+from pagewright.llm.lexicon import INVISIBLE, tidy
+from pagewright.llm.linear import Stretches, codes_of, fit, score, tokens_of
+from pagewright.llm.pages import _pack
+
+from pagewright.llm.stuffing import LINKS, PROSE, SIGNS, LineModel, fit_line_model, read_signs, states_of
 
 STOP = frozenset(w for v in COMMON.values() for w in v)
 WORDS = "harbour council village timetable market bridge letter school railway garden winter supper boat window ladder".split()
@@ -85,12 +89,12 @@ def test_statistics(spark, base):
     assert rows[1]["audit_avg_sentence_length"] == 12 and rows[1]["audit_paragraphs"] == 3 and rows[2]["audit_paragraphs"] is None
     assert rows[51]["common_word_share"] < 0.1 < rows[1]["common_word_share"] and rows[51]["z_common"] < -5
     assert 0 <= rows[1]["pct_common_word_share"] <= 1 and rows[80]["body_words"] == 0
-    assert queries.queries()["p4_validation"](spark, base).count() == 1
+    assert queries.queries()["p4_validation"](spark, base).count() == 2
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p1_stats", "p2_found", "p2_clean", "p3_found", "p3_body", "p4_found", "p4_validation", "p5_found"])
 def test_empty_tables_and_clashing_columns(spark, tmp_path, name):
-    assert queries.queries()[name](spark, write(spark, tmp_path, extra=["residue", "facts", "site", "q"])).count() <= 1
+    assert queries.queries()[name](spark, write(spark, tmp_path, extra=["residue", "facts", "site", "q"])).count() <= 2
 
 
 # --- problem 2 against brute force ---------------------------------------------------
@@ -132,32 +136,103 @@ def test_dense_bitmaps(spark, monkeypatch):
 # --- rules and models ----------------------------------------------------------------
 
 
+def sampled(texts, markup=True):
+    """Pages of one site with a site line above and a list of other pieces below."""
+    out = []
+    for k, body in enumerate(texts):
+        text = f"Home\n\nPass this on to {k} friends\n\n{body}\n\nOther pieces of ours\n\nA piece about the quay {k}\n\nA piece about the mill {k}"
+        inner = "".join(f"<p>{x}</p>" for x in body.split("\n\n"))
+        html = f"<nav><a href='#'>Home</a></nav><div class='share'>Pass this on to {k} friends</div><article>{inner}</article><aside><h3>Other pieces of ours</h3><li><a href='#'>A piece about the quay {k}</a></li><li><a href='#'>A piece about the mill {k}</a></li></aside>"
+        out.append((text, html if markup else None))
+    return out
+
+
+def learned(texts):
+    pages = [blocks_of(text, html, STOP) for text, html in sampled(texts)]
+    codes, signs, labels, main = [], [], [], []
+    for blocks in pages:
+        codes += [b.codes for b in blocks]
+        signs += [furniture.signs_of(b, "daily", []) for b in blocks]
+        labels += furniture.labels_of(blocks)
+        main += [b.role > 0 for b in blocks]
+    return furniture.fit_furniture(["s"] * len(pages), [len(p) for p in pages], Stretches(codes, signs), np.array([x for x, _ in labels]), np.array([y for _, y in labels]), np.array(main))
+
+
 def test_block_rules():
-    html = "<nav><a href='#'>Home</a></nav><article><p>By Jo Marsh</p><p>%s</p><h3>A heading between</h3><p>%s</p><li>[1] A source, Oldby 2001.</li></article><aside><h3>Related stories</h3><li><a href='#'>Another piece about the quay</a></li></aside>" % (prose(1), prose(2))
-    text = f"Home\n\nBy Jo Marsh\n\n{prose(1)}\n\nA heading between\n\n{prose(2)}\n\n[1] A source, Oldby 2001.\n\nRelated stories\n\nAnother piece about the quay"
-    for markup in (html, None):
-        blocks = blocks_of(text, markup, STOP)
+    weights = learned([prose(k) + (f"\n\nThe {WORDS[k % 14]} between the {WORDS[k % 11]}\n\n{prose(k + 50)}\n\n[{k}] The source of it, Newby 199{k % 10}." if k % 2 else "") for k in range(40)])
+    for text, html in [*sampled([prose(99) + "\n\nA heading between\n\n" + prose(98) + "\n\n[1] A source, Oldby 2001."]), *sampled([prose(97)], markup=False)]:
+        blocks = blocks_of(text, html, STOP)
+        furniture.score_lines([(blocks, "daily", ["jo marsh"])], weights)
         mark_blocks(blocks, "Title", ("Jo Marsh",), "Daily")
-        assert [b.mark for b in blocks] == [GOOD if b.line_no in (5, 7, 9, 11) else BAD for b in blocks if True][: len(blocks)] or markup is None and blocks[0].mark in (GOOD, BAD)
+        body = {b.line_no for b in blocks} - {1, 3, *sorted(b.line_no for b in blocks)[-3:]}
+        assert {b.line_no for b in blocks if b.mark == GOOD} == body and all(b.mark in (GOOD, BAD) for b in blocks)
     assert blocks_of(None, None, STOP) == [] and blocks_of("", "<p", STOP) == []
 
 
-def test_cues():
-    assert cue_of("© 2010 daily media. all rights reserved.") == "legal" and cue_of("back to top") == "navigation" and cue_of("diesen artikel teilen") == "share"
-    assert cue_of("the boats came home early") is None and tidy("a​  b­﻿ ") == "a b"
+def test_furniture_without_examples_is_none():
+    blocks = blocks_of(prose(1), None, STOP)
+    none = furniture.fit_furniture([], [], Stretches([], []), np.zeros(0), np.zeros(0), np.zeros(0, bool))
+    furniture.score_lines([(blocks, "", [])], none)
+    assert all(b.cue < 0 and b.opens < 0 for b in blocks) and tidy("a\u200b  b\u00ad\ufeff ") == "a b"
 
 
-def test_residue_windows():
-    kinds = lambda title, text: {w.kind for w in windows_of(title, text, blocks_of(text, None, STOP))}
-    assert kinds(None, None) == set() and kinds("T", "") >= {"title"} and "mark" in kinds("T", "Dear %%NAME%%, hello") and "missing" in kinds("T", "Posted by undefined on undefined")
-    assert "missing" not in kinds("T", "Nothing at all happened today in the village")
+def test_what_is_judged():
+    judged = lambda title, text: residue.judged(title, blocks_of(text, None, STOP))
+    assert judged(None, None) == ([], []) and judged(" ", "") == ([], [])
+    codes, signs = judged("A title", "One sentence. Another one!\nA line")
+    assert len(codes) == len(signs) == 4 and codes[0][0] == residue.TITLE
+    assert len(residue.labelled("A title", blocks_of("One sentence. Another one!\nA line", None, STOP))) == 4
 
 
 def test_linear_classifier_learns():
-    examples = [features_of(w) for k in range(40) for w in windows_of(None, f"Dear {{{{name{k}}}}} friend", []) if w.kind == "mark"]
-    others = [features_of(w) for k in range(40) for w in windows_of(f"Plain title {k}", "", []) if w.kind == "title"]
-    weights = fit_linear(examples + others, np.array([1.0] * len(examples) + [0.0] * len(others)))
-    assert all(v @ weights[at] + weights[-1] > 0 for at, v in examples) and all(v @ weights[at] + weights[-1] < 0 for at, v in others)
+    texts = [f"Dear {{{{name{k}}}}} friend" for k in range(40)] + [f"Plain title {k}" for k in range(40)]
+    stretches = Stretches([codes_of(tokens_of(t.lower())) for t in texts], [()] * 80)
+    labels = np.array([1] * 40 + [0] * 40)
+    (scores,) = score(stretches, fit(stretches, labels))
+    assert ((scores > 0) == (labels == 1)).all()
+    (none,) = score(stretches, fit(stretches, np.zeros(80)))
+    assert (none < 0).all() and score(Stretches([], []), fit(stretches, labels))[0].shape == (0,)
+
+
+def test_residue_no_pattern_has_labelled():
+    """Half of the planted pages carry notices whose words no pattern knows; they are found for what they share with the others."""
+    rng = random.Random(4)
+    pages, truth = [], []
+    for k in range(400):
+        if k % 8 == 0:
+            known = k % 16 == 0
+            notice = rng.choice(["This page is broken because of an unexpected error", "Nothing is here, the page was not found on this server"]) if known else rng.choice(["This page is broken, sorry", "Nothing is here, the page has gone"])
+            pages.append(("Oops", f"{notice} {k}."))
+        else:
+            pages.append((f"How the harbour was kept {k}", prose(k)))
+        truth.append(k % 8 == 0)
+    parsed = [(title, blocks_of(text, None, STOP)) for title, text in pages]
+    for title, blocks in parsed:
+        mark_blocks(blocks, title, (), None)
+    both = [(residue.judged(t, b), residue.labelled(t, b)) for t, b in parsed]
+    labels = np.array([y for _, given in both for y, _ in given])
+    weights = fit(Stretches([c for (cs, _), _ in both for c in cs], [s for (_, ss), _ in both for s in ss]), labels, epochs=16)
+    said = residue.are_residue(parsed, weights)
+    unlabelled = [k for k in range(400) if k % 16 == 8]
+    assert not any(y == 1 for k in unlabelled for y, _ in both[k][1])
+    assert sum(said[k] for k in range(0, 400, 16)) == 25 and not any(said[k] for k in range(400) if not truth[k])
+
+
+def test_validation_against_planted_truth():
+    """At one host in five none is trained on; what is reported is what was planted there."""
+    hosts = [f"h{k}.example" for k in range(40)]
+    held = {h for h in hosts if zlib.crc32(h.encode()) % 5 == 0}
+    rows = []
+    for h in hosts:
+        pages = [(f"Story {k}", prose(k + 7 * len(h))) for k in range(6)] + [("404 Not Found", "The requested page was not found on this server."), ("Story", prose(9) + " The {{ first_name }} council voted. " + prose(8))]
+        for title, text in pages:
+            blocks = blocks_of(text, None, STOP)
+            mark_blocks(blocks, title, (), None)
+            kept = [(c, s, *y) for c, s, y in zip(*residue.judged(title, blocks), residue.labelled(title, blocks)) if y[0] >= 0]
+            rows.append({"site": h, "phrases": [x[3] for x in kept], "labels": np.array([x[2] for x in kept], np.int8).tobytes(), **dict(zip(("codes", "sizes", "signs", "sign_sizes"), _pack([x[0] for x in kept], [x[1] for x in kept])))})
+    seen, unseen = validate(rows)
+    assert seen[:2] == ("unseen hosts", len(held)) and seen[2] == 3 * len(held) and seen[3:5] == (0, 0)
+    assert unseen[0] == "unseen hosts and phrases" and unseen[2] + unseen[3] <= seen[2]
 
 
 def test_viterbi_matches_brute_force():
@@ -179,7 +254,7 @@ def test_line_states():
     linked = "".join(f"<li><a href='#'>Old market piece number {k}</a></li>" for k in range(12))
     page_a = blocks_of("\n".join(f"Old market piece number {k}" for k in range(12)), linked, STOP)
     page_b = blocks_of(prose(4) + "\n" + prose(5), None, STOP)
-    model = fit_line_model([page_a, page_b] * 5)
+    model = fit_line_model([tuple(x.astype(np.int8).tobytes() for x in read_signs(p)) for p in (page_a, page_b)] * 5)
     assert set(states_of(page_a, model)) == {LINKS} and set(states_of(page_b, model)) == {PROSE} and len(states_of([], model)) == 0
 
 
@@ -191,7 +266,10 @@ def test_sketches_against_exact_quantiles(spark):
     names = [s for s in STATISTICS if s != "body_words"]
     facts = spark.createDataFrame(rows, "base_lang string, " + ", ".join(f"{n} double" for n in names) + ", body_words int, body_chars int")
     quantiles = {r["base_lang"]: r for r in sketch_quantiles(facts).collect()}
-    assert set(quantiles) == {"en", "de", "fr", "*"} and quantiles["*"]["pages"] == 3003
+    assert set(quantiles) == {"en", "de", "fr"} and quantiles["fr"]["pages"] == 3
+    everyone = np.quantile([r[1] for r in rows], 0.5)
+    assert abs(quantiles["fr"]["common_word_share"][99] - (3 * 0.4 + 20 * everyone) / 23) < 0.01
+    quantiles = {r["base_lang"]: r for r in sketch_quantiles(facts, 0.0).collect()}
     for lang in ("en", "de"):
         values = np.array([r[1] for r in rows if r[0] == lang])
         exact = np.quantile(values, RANKS)

@@ -3,10 +3,11 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pagewright.llm import residue
 from pagewright.llm.blocks import BAD, GOOD, blocks_of, mark_blocks
+from pagewright.llm.linear import Stretches
 from pagewright.llm.packing import Packer
 from pagewright.llm.pii import KINDS, Finder, redact
-from pagewright.llm.residue import features_of, windows_of
 
 FINDER = Finder(["Ada Quill", "Bruno Marsh"])
 words = st.sampled_from(["Ada ", "Bruno ", "Fenn ", "van ", "@", " at ", "(at)", "x.test", "+999 ", "0", "12 ", "345-", "/", "Flat 3, ", "Mill Hill, ", "Oldby ", "P.O. Box ", "VK ", "\n", ".", ", ", "Straße ", "rue ", "yours, "])
@@ -30,9 +31,10 @@ def test_every_line_is_decided(text, markup, title):
     mark_blocks(blocks, title, (None, title), title)
     assert all(b.mark in (GOOD, BAD) for b in blocks)
     assert [b.line_no for b in blocks] == [k for k, line in enumerate(text.split("\n"), 1) if line.replace("​", "").strip()]
-    for window in windows_of(title, text, blocks):
-        at, values = features_of(window)
-        assert len(at) == len(values) > 0
+    codes, signs = residue.judged(title, blocks)
+    assert len(codes) == len(signs) == len(residue.labelled(title, blocks)) and all(codes)
+    row, index, value = Stretches(codes, signs).features()
+    assert len(row) == len(index) == len(value) and set(row.tolist()) == set(range(len(codes)))
 
 
 @given(st.integers(1, 50), st.lists(st.lists(st.integers(0, 50), max_size=30), max_size=4))

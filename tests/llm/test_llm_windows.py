@@ -1,83 +1,107 @@
-"""Evidence windows of problem 4: every spelling, place and length."""
+"""What problem 4 judges: every spelling, place and length of a sign of residue."""
 
+import random
 import time
 
+import numpy as np
 import pytest
 from make import COMMON
 
+from pagewright.llm import residue
 from pagewright.llm.blocks import blocks_of, mark_blocks
-from pagewright.llm.residue import features_of, placeholders, windows_of
+from pagewright.llm.linear import Stretches, fit
 
 STOP = frozenset(w for v in COMMON.values() for w in v)
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit sed eiusmod tempor incididunt labore et dolore magna aliqua."
+FILL = "The boats came home late and the whole village slept well after the long night at sea. "
+NAMES = ["first_name", "city", "product.title", "user.name", "ORDER_NO", "item2", "dateLong", "sku"]
+FORMS = ["{{{{ {} }}}}", "{{{}}}", "${{{}}}", "#{{{}}}", "[[{}]]", "%%{}%%", "@@{}@@", "*|{}|*", "<%= {} %>", "[INSERT {} HERE]"]
 
 
-def windows(text, kind, markup=None):
+def parsed(title, text, markup=None):
     blocks = blocks_of(text, markup, STOP)
-    mark_blocks(blocks, None, (), None)
-    return [w for w in windows_of(None, text, blocks) if w.kind == kind]
+    mark_blocks(blocks, title, (), None)
+    return title, blocks
 
 
-@pytest.mark.parametrize("mark", ["{CITY}", "{firstName}", "{item1}", "{user.firstName}", "{{ field | default: '" + "x" * 80 + "' | truncate: 20 }}", "{{ field\n| upper }}", "[[" + "long name " * 12 + "]]", "%" + "LONG_" * 12 + "NAME%", "[YOUR " + "company " * 12 + "HERE]"])
-def test_marks_of_any_case_and_length(mark):
-    (found,) = windows(f"Dear reader in {mark} we greet you today", "mark")
-    assert "\x01" in found.text and found.weak == 1
+@pytest.fixture(scope="module")
+def weights():
+    """A classifier from pages of prose, pages with a hole, pages that quote one, and pages that are a notice or filler."""
+    rng = random.Random(11)
+    words = "harbour council village timetable market bridge letter school railway garden winter supper boat window".split()
+    say = lambda: " ".join(rng.choice(words) if k % 2 else rng.choice(COMMON["en"]) for k in range(16)).capitalize()
+    pages = [parsed(say(), "\n\n".join(f"{say()}. {say()}." for _ in range(6))) for _ in range(150)]
+    for k in range(120):
+        pages.append(parsed(say(), f"{say()}. {say()} {FORMS[k % len(FORMS)].format(NAMES[k % 8])} {say()}.\n\n{say()}. {say()}. {say()}. {say()}."))
+    for k in range(60):
+        pages.append(parsed(say(), f"{say()}. In the lesson she wrote {FORMS[k % 2].format(NAMES[k % 8])} on the board and explained the template. {say()}.\n\n{say()}. {say()}. {say()}."))
+        pages.append(parsed(say(), "\n".join(f"for(var i=0;i<{k + j};i++){{boat[i]=mill(i)||null}}" for j in range(9))))
+    for k in range(30):
+        pages += [parsed("404 Not Found", "The requested page was not found on this server."), parsed("Loading", "Please enable JavaScript to continue using this application."), parsed(say(), LOREM * 3), parsed(say(), f"Posted by undefined on undefined, {k} views.")]
+        pages.append(parsed(say(), f"{say()}. {say()}. {say()}. {say()}. {say()}. {say()}. {say()}. {say()}. {say()}. {say()}.\n\nPlease turn on scripts to see the comments on Daily Quay."))
+    codes, signs, labels = [], [], []
+    for title, blocks in pages:
+        c, s = residue.judged(title, blocks)
+        codes, signs, labels = codes + c, signs + s, labels + [y for y, _ in residue.labelled(title, blocks)]
+    return fit(Stretches(codes, signs), np.array(labels), epochs=16)
 
 
-def test_code_in_single_braces_is_no_sure_mark():
-    assert not windows("for (i) {x[i]=y[i]+1} and \\frac{a} or e^{2}", "mark")
-    assert [w.weak for w in windows("hello {city} then {value}; done", "mark")] == [1, -1]
+def found(weights, text, title=None):
+    return bool(residue.are_residue([parsed(title, text)], weights)[0])
 
 
-@pytest.mark.parametrize("piece", ["{a_", "__A", ".__A", "@@a_ ", "{{ ", "[ADD ", "*|", "<% "])
-def test_marks_never_closed_cost_linear_time(piece):
-    began = time.time()
-    assert list(placeholders(piece * 30_000)) == [] or piece == "*|"
-    assert time.time() - began < 5
+@pytest.mark.parametrize("mark", ["{CITY}", "{firstName}", "{item1}", "{user.firstName}", "{{ last_name }}", "{{unknown.field}}", "[[long_name]]", "%%LONG_NAME%%", "[INSERT company HERE]", "@@other@@", "*|FNAME|*", "<%= price %>", "${amount}"])
+@pytest.mark.parametrize("before", [0, 1, 60])
+def test_marks_of_any_case_place_and_name(weights, mark, before):
+    assert found(weights, FILL * before + f"Dear reader in {mark} we greet you today. " + FILL * 20)
 
 
-LOREM = "Donec ornare fringilla nunc, vela vitae morbi sodales amet, sed sagittis urna tempor incididunt labore et dolore magna aliqua."
+def test_code_and_quotations_are_no_residue(weights):
+    assert not found(weights, "for(var i=0;i<7;i++){lamp[i]=rope(i)||null}\n" * 8)
+    assert not found(weights, FILL * 9 + "In the lesson she wrote {{ surname }} on the board and explained the template. " + FILL * 9)
 
 
-def test_filler_below_a_long_menu():
-    menu = [f"Topic {a}{b}" for a in "abcdef" for b in "uvwxyz"]
-    for head in (menu, [f"The {x} stands for itself as a line of its own, once" for x in menu[:14]]):
-        (page,) = windows("\n".join([*head, *[f"{LOREM} Vestibulum {k}." for k in range(30)]]), "page")
-        assert page.weak == 1 and int(page.extra[-1][6:]) >= 2
-        assert page.text.count("donec") == 30
-    assert "topic au" not in windows("\n".join([*menu, LOREM * 2]), "page")[0].text
-
-
-def test_repetition_after_many_lines():
-    lines = [f"The old boat number {k} came home late and the village slept well that night." for k in range(14)]
-    (page,) = windows("\n".join(lines + ["The same words of the template stand here again and again for the reader."] * 30), "page")
-    assert "again" in page.extra
+@pytest.mark.parametrize("piece", ["{a_", "__A", ".__A", "@@a_ ", "{{ ", "[ADD ", "<% "])
+def test_marks_never_closed_cost_linear_time(weights, piece):
+    began = time.time()
+    title, blocks = parsed(None, piece * 30_000)
+    residue.are_residue([(title, blocks)], weights)
+    residue.labelled(title, blocks)
+    assert time.time() - began < 20
 
 
-def test_phrases_in_long_lines():
-    line = "We are sorry for this and hope that you will bear with us for some more minutes, as all of us here do what we can about it. " * 3 + "Please enable JavaScript to continue to the page."
-    (page,) = windows(line, "page")
-    assert "spoken" in page.extra and page.words < 90 and len(line) > 400
-    assert "dummy" in windows("The boat came home at last and the children of the village ran down. " * 9 + "Replace this text with yours.", "page")[0].extra
+def test_filler_below_a_long_menu(weights):
+    menu = [f"Topic {a}{b}" for a in "abcdef" for b in "uvwxyz"]
+    for head in (menu, [f"The {x} stands for itself as a line of its own, once" for x in menu[:14]]):
+        assert found(weights, "\n".join([*head, *[f"{LOREM} Vestibulum {k}." for k in range(30)]]))
 
 
-FILL = "The boats came home late and the whole village slept well after the long night at sea. "
+@pytest.mark.parametrize("lines", [1, 13, 40])
+def test_notices_among_many_lines_of_a_thin_page(weights, lines):
+    """A thin page is judged by all its lines, whatever their number."""
+    assert found(weights, "\n".join([*(f"Section {k}" for k in range(lines)), "The requested page was not found on this server."]), "404 Not Found")
 
 
-@pytest.mark.parametrize("before", [0, 1, 5, 60])
 @pytest.mark.parametrize("value", ["undefined", "NaN", "[object Object]"])
-def test_missing_values_anywhere_in_a_long_line(before, value):
-    (found,) = windows(FILL * before + f"Posted by {value} on {value}. " + FILL * 20, "missing")
-    assert found.text.count("\x02") == 2 and found.weak == 1 and found.words < 120
+@pytest.mark.parametrize("before", [0, 1, 60])
+def test_missing_values_have_their_weak_label_anywhere(value, before):
+    title, blocks = parsed(None, FILL * before + f"Posted by {value} on {value}. " + FILL * 20)
+    assert [y for y, kind in residue.labelled(title, blocks) if kind == "hole"] == [1]
 
 
-def test_setting_of_a_missing_value_is_read_beside_it():
-    quoting = "In the lesson on the script she explained the syntax of the placeholder. "
-    far, near = windows(quoting + FILL * 9 + "Posted by undefined on undefined. " + FILL * 9 + quoting + "It says undefined here.", "missing")
-    assert far.weak == 1 and "talk" not in far.extra and near.weak == 0 and "talk" in near.extra
-    assert [w.text.count("\x02") for w in windows("undefined " * 3000, "missing")] == [3000]
+def test_notices_are_labelled_by_what_stands_beside_them():
+    notice = "Please enable JavaScript to continue to the page."
+    label = lambda text: [y for y, p in residue.labelled(*parsed(None, text)) if p][-1]
+    assert label(notice) == 1 and label(FILL * 9 + "\n\n" + notice) == 0 and label(FILL * 4 + "\n\n" + notice) == -1
 
 
-def test_all_tokens_of_a_window_count():
+def test_every_word_of_a_long_sentence_counts():
     words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "bdfgklm"]
-    some, all_ = (features_of(windows("JavaScript is disabled. " + " ".join(words[:n]), "page")[0]) for n in (180, 245))
-    assert len(all_[0]) > len(some[0]) + 150 and abs((all_[1] ** 2).sum() - 1) < 1e-9
+    sizes = [len(Stretches(*residue.judged(*parsed(None, " ".join(words[:n])))).features()[0]) for n in (180, 245)]
+    assert sizes[1] - sizes[0] == 3 * 65
+
+
+def test_two_million_characters():
+    began = time.time()
+    title, blocks = parsed("T", FILL * 23_000 + "Dear {{ name }} reader.")
+    assert len(residue.judged(title, blocks)[0]) == 23_002 and time.time() - began < 60
