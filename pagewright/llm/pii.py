@@ -1,14 +1,16 @@
 """Problem 8: personal strings in free text, by anchor expansion.
 
-An Aho-Corasick automaton finds anchors: at-signs and their disguises, digits that begin a
-number, street and box words, given names, and cues that a person's name follows. At each
-anchor a deterministic local parser expands to the string's boundaries and validates it.
+An Aho-Corasick automaton finds anchors: at-signs and their disguises, address schemes
+(mailto:, tel: and the like), words that announce an identifier, digits that begin a
+number, street and box words, and given names. At each anchor a deterministic local parser
+expands to the string's boundaries, as far as its grammar goes, and validates it.
 The automaton is built once on each executor from bounded lists.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import pandas as pd
@@ -34,6 +36,7 @@ _SPELLED_REST = re.compile(rf"[ \t]at[ \t]({_LABEL}(?:[ \t]dot[ \t]{_LABEL})+)(?
 
 _GAP = r"[ \t  .\-/]"
 _PHONE = re.compile(rf"(?:(?:\+|00)[1-9]\d{{0,2}}{_GAP}?(?:\(0\){_GAP}?)?|\(0\d{{1,4}}\){_GAP}?|0[1-9]?\d{{1,3}}{_GAP}|0)\d{{1,4}}(?:{_GAP}?\d{{2,7}}){{1,5}}(?!\d)")
+_DIALLED = re.compile(rf"\+?\d(?:{_GAP}?\d)*")
 _NOT_PHONE = re.compile(
     r"(?:document|motion|line|clause|bill|paper|report|vote|votes|voted|petition|question|account|titel|haushaltstitel|drucksache|antrag|artikel|paragraf|dokument|document|ligne budgétaire|budgétaire|amendement|documento|moción|partida|ley|enmienda|column|page|no\.|nr\.|n\.º|of the)\s*$",
     re.I,
@@ -48,14 +51,21 @@ _IDS = (
     re.compile(r"\d{2} \d{3} \d{3} \d{3}(?! ?\d)"),
     re.compile(r"(?!555|000)\d{3}-\d{2}-\d{4}(?![\d\-])"),
 )
-_ID_CUE = re.compile(
-    r"(?:passport|identity|national|personal|person|social security|tax|insurance|ausweis|pass|person(?:en|al)|steuer|identité|identidad|passeport|pasaporte|fiscal)[\w ]{0,14}(?:number|card|no|nummer|nr|numéro|número|in question)?\W{0,4}(?:is|was|:|,|under)?\W{0,3}$|(?:number is|under|nummer|ausweis|identité|identidad|passport in question,)\s*$",
-    re.I,
-)
+#: Words that announce a personal identifier, in lower case; they are anchors in lower case, with a capital, and in capitals.
+ID_CUES = (
+    "passport", "identity", "national", "personal", "person", "personen", "social security", "tax", "insurance", "ausweis", "pass", "steuer", "identité", "identidad", "passeport", "pasaporte", "fiscal",
+    "number is", "under", "nummer", "id no", "ssn",
+)
+#: What may stand between such a word and the identifier: the rest of a compound, up to three more words, a colon or verb.
+_CUE_GAP = re.compile(r"\w*(?:[ \t]\w+){0,3}\W{0,4}(?:is|was|under)?\W{0,3}")
+#: Characters that such a gap can have at most: its grammar with words of any usual length.
+CUE_REACH = 80
 _ID_LOOSE = re.compile(r"(?=[A-Z0-9 .\-/]*\d[A-Z0-9 .\-/]*\d[A-Z0-9 .\-/]*\d[A-Z0-9 .\-/]*\d[A-Z0-9 .\-/]*\d)(?:[A-Z]{1,3}[ \-]?)?\d[\d .\-/]{4,18}\d(?:[ \-]?[A-Z](?![A-Za-z]))?(?!\d)")
 
 _TOWN = r"[A-ZÀ-Þ][\w'’-]+(?:[ \t-][A-ZÀ-Þ][\w'’-]+)?"
 _NUMBER = r"\d{1,5}[A-Za-z]?"
+#: The name of a street after its type: up to twelve words of any length.
+_STREET_NAME = r"(?:[\w'’.()/-]+[ \t]){0,11}[\w'’.()/-]+"
 _UK_CODE = r"[A-Z]{1,2}\d[\dA-Z]?[ \t]?\d[A-Z]{2}(?![A-Za-z0-9])"
 _EN_TYPES = "Street|Road|Lane|Avenue|Close|Hill|Row|Drive|Court|Square|Terrace|Gardens|Crescent|Place|Way|Walk|Mews|Grove|Park|Green|Quay|Yard|Parade|Rise"
 _EN_TOWN = rf"[A-ZÀ-Þ][a-zà-ÿ'’-]+(?:[ \t-][A-ZÀ-Þ][a-zà-ÿ'’-]+)?"
@@ -65,10 +75,11 @@ ADDRESSES = {
     ),
     "box": re.compile(rf"(?:P\.?[ \t]?O\.?[ \t]?Box|PO[ \t]Box|Postfach|Apartado(?: de correos)?|B\.?P\.?|Boîte postale)[ \t]\d[\d ]{{0,6}}\d?,?[ \t](?:\d{{4,5}}[ \t])?{_EN_TOWN}(?:,?[ \t]{_UK_CODE})?"),
     "de": re.compile(rf"(?:(?:Am|An der|An den|Im|In der|Zum|Zur|Auf der|Auf dem|Alte|Neue|Große|Kleine)[ \t])?[A-ZÄÖÜ][\wäöüß.-]*(?:[ \t](?:Straße|Weg|Platz|Allee|Gasse|Ring|Ufer|Damm))?[ \t]{_NUMBER},[ \t]\d{{4,5}}[ \t]{_TOWN}"),
-    "fr": re.compile(rf"\d{{1,5}}(?:[ \t](?:bis|ter|quater))?,?[ \t](?:rue|avenue|impasse|boulevard|place|chemin|quai|allée|route|cours|passage|ruelle|sentier|square|faubourg)[ \t][^,\n;:]{{2,50}},[ \t]\d{{5}}[ \t]{_TOWN}", re.I),
-    "es": re.compile(rf"(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Ronda|Travesía|Callejón|C/|Avda\.)[ \t][^,\n;:]{{2,50}},[ \t](?:n\.?º?[ \t])?{_NUMBER}(?:,[ \t]\d{{1,2}}\.?[ºª°][ \t]?[A-Za-z]*)?,[ \t]\d{{5}}[ \t]{_TOWN}"),
+    "fr": re.compile(rf"\d{{1,5}}(?:[ \t](?:bis|ter|quater))?,?[ \t](?:rue|avenue|impasse|boulevard|place|chemin|quai|allée|route|cours|passage|ruelle|sentier|square|faubourg)[ \t]{_STREET_NAME},[ \t]\d{{5}}[ \t]{_TOWN}", re.I),
+    "es": re.compile(rf"(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Ronda|Travesía|Callejón|C/|Avda\.)[ \t]{_STREET_NAME},[ \t](?:n\.?º?[ \t])?{_NUMBER}(?:,[ \t]\d{{1,2}}\.?[ºª°][ \t]?[A-Za-z]*)?,[ \t]\d{{5}}[ \t]{_TOWN}"),
 }
 _PARTICLES = "van der|van den|van de|van|von der|von|vom|zu|de la|de las|de los|de|del|du|des|della|di|da|dos|ter|ten|le|la"
+_PARTICLE_WORDS = frozenset(_PARTICLES.replace("|", " ").split())
 _PARTICLE = rf"(?:{_PARTICLES}|{_PARTICLES.upper()})(?!\w)"
 _FAMILY = r"[A-ZÀ-Þ][\w'’]+(?:-[A-ZÀ-Þ][\w'’]+)*"
 _NAME_REST = re.compile(rf"(?:[ \t][A-ZÀ-Þ]\.)*(?:[ \t]{_PARTICLE})*[ \t]{_FAMILY}")
@@ -78,17 +89,10 @@ _TITLE_CASE = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ]")
 #: A name cannot begin after these.
 _TOWN_LIKE = re.compile(r"(?:\d |St\. |St )$")
 _LETTER = re.compile(r"\w")
+_ARTICLES = frozenset("bis ter quater der den dem die das am an im in auf zum zur de la le les du des del los las".split())
 
-#: Words after which a private person's name stands, whatever the given name.
-NAME_CUES = (
-    "My constituent ", "my constituent ", "yours, ", "Yours, ", "Witness: ", "My name is ", "my name is ", "a widow, ", "a widower, ", "I tell ", "sage ich ", "le digo a ", "dirai-je à ", "dire à ",
-    "Behind me sit ", "I see that ", "sitzt heute ", "sitzen heute ", "Ausschuss sagte ", "hat mir ", "la commission, ", "la comisión declaró ", "Dr. ", "Contact: ", "Kontakt: ", "Contacto: ",
-    "Zeuge: ", "Zeugin: ", "Témoin : ", "Témoin: ", "Testigo: ", "Mein Name ist ", "Je m'appelle ", "Me llamo ", "tax office wrote to ",
-)
-#: Words that follow a private person's name.
-AFTER_NAME = (", told the committee", " wrote to me about", ", who lives at ", ", wohnhaft ", ", qui habite ", ", con domicilio en ", " m'a écrit", " me escribió", " hat mir geschrieben")
 _CUED_NAME = re.compile(rf"{_GIVEN.pattern}(?:[ \t][A-ZÀ-Þ]\.)*(?:[ \t]{_PARTICLE})*[ \t]{_FAMILY}")
-#: A name right before words that follow one, or before an address or telephone number and what may stand between.
+#: A name right before an address or telephone number and what may stand between.
 _NAME_BEFORE = re.compile(rf"(?<![\w.'’-]){_CUED_NAME.pattern}$")
 _BETWEEN = re.compile(r"(?:, | \(| / |: |, (?:tel|Tel|tél)\. | of )$")
 #: Capitalised words that begin a sentence and are no given name.
@@ -97,6 +101,15 @@ _NO_GIVEN = frozenset("the in a an of at on by to from for and but or der die da
 STREET_WORDS = (*_EN_TYPES.split("|"), "straße", "Straße", "strasse", "weg ", "gasse ", "platz ", "allee ", "Am ", "An der ", "Im ", "In der ", "Zum ", "Zur ", "rue ", "avenue ", "impasse ", "boulevard ", "place ", "chemin ", "quai ", "allée ", "Rue ", "Avenue ", "Calle ", "Avenida ", "Plaza ", "Paseo ", "Camino ", "Ronda ", "C/", "Box ", "Postfach ", "Apartado ", "BP ", "B.P. ")
 
 
+#: Schemes of links and the parser that reads what follows them.
+SCHEMES = {"mailto:": "mailto", "tel:": "tel", "callto:": "tel", "sms:": "tel", "fax:": "tel", "whatsapp:": "tel"}
+#: Longest local part of a mail address (RFC 5321).
+LOCAL_PART = 64
+#: Words that an address can have before its street word at most: flat, number, saint, three of the name, and an article.
+ADDRESS_WORDS = 8
+_SPACES = " \t"
+
+
 class Finder:
     """Finds personal strings; built from the given names and full names of the members of the House."""
 
@@ -122,10 +135,13 @@ class Finder:
         for name in self.given:
             add(name, "given")
             add(name.upper(), "given")
-        for cue in NAME_CUES:
-            add(cue, "cue")
-        for words in AFTER_NAME:
-            add(words, "after")
+        for cue in ID_CUES:
+            for form in {cue, cue.capitalize(), cue.title(), cue.upper()}:
+                add(form, "id")
+        for scheme, kind in SCHEMES.items():
+            add(scheme, kind)
+            add(scheme.upper(), kind)
+            add(scheme.capitalize(), kind)
         machine.make_automaton()
         self.machine = machine
 
@@ -134,23 +150,27 @@ class Finder:
         found: list[tuple[int, int, str]] = []
         own = _key(re.sub(r"\(.*?\)", "", speaker)) if speaker else ""
         streets: set[int] = set()
+        cues: list[int] = []  # ends of the last words that announce an identifier
         for end, (kinds, word) in self.machine.iter(text):
             start = end - len(word) + 1
             for kind in kinds:
+                hit = None
                 if kind == "mail":
                     hit = _mail(text, start, word)
                 elif kind == "digit":
-                    hit = _number(text, start) if start == 0 or not text[start - 1].isdigit() else None
+                    if start == 0 or not text[start - 1].isdigit():
+                        hit = _number(text, start, cues)
+                elif kind == "id":
+                    cues = [c for c in cues if end - c < CUE_REACH] + [end + 1]
                 elif kind == "street":
                     hit = _address(text, start, streets)
                 elif kind == "given":
                     hit = self._name(text, start, end + 1, own)
-                elif kind == "after":
-                    hit = self._before(text, start, own)
+                elif kind == "mailto":
+                    at = text.find("@", end + 1, end + 2 + LOCAL_PART)
+                    hit = _mail(text, at, "@") if at >= 0 else None
                 else:
-                    hit = self._cued(text, end + 1, own)
-                    if hit and text.startswith(" and ", hit[1]) and (second := self._cued(text, hit[1] + 5, own)):
-                        found.append(second)
+                    hit = _dialled(text, end + 1)
                 if hit:
                     found.append(hit)
                     if hit[2] in ("address", "phone") and (gap := _BETWEEN.search(text, max(0, hit[0] - 8), hit[0])):
@@ -165,12 +185,21 @@ class Finder:
         rest = _NAME_REST.match(text, end)
         return self._valid(text, start, rest.end(), own) if rest else None
 
-    def _cued(self, text: str, start: int, own: str) -> tuple | None:
-        hit = _CUED_NAME.match(text, start)
-        return self._valid(text, start, hit.end(), own) if hit else None
-
     def _before(self, text: str, end: int, own: str) -> tuple | None:
-        hit = _NAME_BEFORE.search(text, max(0, end - 70), end)
+        """A full name that ends at ``end``: words are taken back as long as they may belong to one."""
+        start = end
+        while start > 0 and text[start - 1] not in _SPACES + "\n":
+            word = start
+            while word > 0 and (text[word - 1].isalnum() or text[word - 1] in "'’.-"):
+                word -= 1
+            if word == start or not (text[word].isupper() or text[word:start].lower() in _PARTICLE_WORDS):
+                break
+            start = word
+            if start > 0 and text[start - 1] in _SPACES:
+                start -= 1
+            else:
+                break
+        hit = _NAME_BEFORE.search(text, start, end)
         return self._valid(text, hit.start(), end, own) if hit else None
 
     def _valid(self, text: str, start: int, end: int, own: str) -> tuple | None:
@@ -198,7 +227,7 @@ def _mail(text: str, start: int, word: str) -> tuple | None:
     spelled = word.strip().lower() == "at" and word[0] == " "
     while at > 0 and text[at - 1] in " \t" and not spelled:
         at -= 1
-    local = _LOCAL_TAIL.search(text, max(0, at - 70), at)
+    local = _LOCAL_TAIL.search(text, max(0, at - LOCAL_PART), at)
     if not local:
         return None
     rest = (_SPELLED_REST if spelled else _MAIL_REST).match(text, at)
@@ -211,7 +240,18 @@ def _mail(text: str, start: int, word: str) -> tuple | None:
     return local.start(), rest.end(), "email"
 
 
-def _number(text: str, start: int) -> tuple | None:
+def _dialled(text: str, start: int) -> tuple | None:
+    """The telephone number right after a scheme."""
+    hit = _PHONE.match(text, start) or _DIALLED.match(text, start)
+    return (hit.start(), hit.end(), "phone") if hit and 7 <= sum(c.isdigit() for c in hit.group()) <= 15 else None
+
+
+def _announced(text: str, first: int, cues: list[int]) -> bool:
+    """Whether one of the words that announce an identifier, which end at ``cues``, stands before ``first`` with nothing but its gap between."""
+    return any(c <= first and _CUE_GAP.fullmatch(text, c, first) for c in cues)
+
+
+def _number(text: str, start: int, cues: list[int]) -> tuple | None:
     """An identity number or telephone number whose first digit is at ``start``."""
     before = text[start - 1] if start else " "
     letters = start
@@ -243,26 +283,41 @@ def _number(text: str, start: int) -> tuple | None:
                 return begin, hit.end(), "phone"
     if before in "-./:":
         return None
-    context = text[max(0, start - 44) : start]
-    if _ID_CUE.search(context):
+    if _announced(text, start, cues) or _announced(text, letters, cues):
         hit = _ID_LOOSE.match(text, letters)
         if hit and 6 <= sum(c.isdigit() for c in hit.group()) <= 14 and not _NOT_PHONE_AFTER.match(text[hit.end() : hit.end() + 20]):
             return letters, hit.end(), "id_number"
     return None
 
 
+def _starts(text: str, anchor: int):
+    """Where an address with a street word at ``anchor`` may begin: at the word there, and at up to `ADDRESS_WORDS` names, numbers and articles before it."""
+    at = anchor
+    while at > 0 and text[at - 1].isalnum():
+        at -= 1
+    yield at
+    for _ in range(ADDRESS_WORDS):
+        end = at
+        while end > 0 and text[end - 1] in " \t,":
+            end -= 1
+        start = end
+        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "'’.-/"):
+            start -= 1
+        if start == end or end == at or not (text[start].isupper() or text[start].isdigit() or text[start:end].lower() in _ARTICLES):
+            return
+        at = start
+        yield at
+
+
 def _address(text: str, anchor: int, done: set) -> tuple | None:
-    """The address around a street or box word: the parsers are tried where a number or street may begin, to the left of the anchor."""
-    low = max(0, text.rfind("\n", 0, anchor) + 1, anchor - 60)
-    high = min(len(text), anchor + 130)
+    """The longest address around a street or box word at ``anchor``, within its line."""
     best = None
-    for pattern in ADDRESSES.values():
-        for hit in pattern.finditer(text, low, high):
-            if hit.start() > anchor:
-                break
-            if hit.end() > anchor and (best is None or hit.end() - hit.start() > best[1] - best[0]):
-                if hit.start() and (_LETTER.match(text[hit.start() - 1])):
-                    continue
+    for start in _starts(text, anchor):
+        if start and _LETTER.match(text[start - 1]):
+            continue
+        for pattern in ADDRESSES.values():
+            hit = pattern.match(text, start)
+            if hit and hit.end() > anchor and (best is None or hit.end() - hit.start() > best[1] - best[0]):
                 best = (hit.start(), hit.end(), "address")
     if best is None or best[0] in done:
         return None
@@ -271,11 +326,13 @@ def _address(text: str, anchor: int, done: set) -> tuple | None:
 
 
 def _disjoint(found: list) -> list:
+    """The spans in order, longer ones first where two overlap."""
     kept: list[tuple[int, int, str]] = []
     for span in sorted(set(found), key=lambda s: (s[0] - s[1], s[0])):
-        if all(span[1] <= k[0] or span[0] >= k[1] for k in kept):
-            kept.append(span)
-    return sorted(kept)
+        at = bisect_left(kept, span)
+        if (at == 0 or kept[at - 1][1] <= span[0]) and (at == len(kept) or kept[at][0] >= span[1]):
+            kept.insert(at, span)
+    return kept
 
 
 def redact(text: str, spans: list) -> str:

@@ -139,3 +139,37 @@ def test_pii_query(spark, tmp_path):
 @pytest.mark.parametrize("name", ["p6_pack", "p6_fill", "p7_mix", "p7_shares", "p8_found", "p8_redacted"])
 def test_empty_documents(spark, tmp_path, name):
     assert queries.queries()[name](spark, write(spark, tmp_path)).count() <= 2
+
+
+def kinds_in(text, members=("Ada Quill", "Bruno Marsh")):
+    return {(k, text[a:b]) for a, b, k in Finder(list(members)).spans(text)}
+
+
+def test_schemes_and_identifier_cues_are_anchors():
+    assert ("email", "jo.fen@mail.test") in kinds_in("write to mailto:jo.fen@mail.test now")
+    assert ("phone", "+44 20 7946 0018") in kinds_in("or tel:+44 20 7946 0018.") and ("phone", "5550100") in kinds_in("SMS:5550100")
+    assert ("id_number", "X123-4567") in kinds_in("Her tax number is X123-4567 as noted.")
+    assert not any(k == "id_number" for k, _ in kinds_in("The tax of the year was raised, and then in all of the county 123-4567 people left."))
+
+
+def test_long_names_and_addresses_are_whole():
+    family = "Quenneborough" * 9
+    assert ("name", f"Ada {family}") in kinds_in(f"We met Ada {family} there.")
+    street = " ".join(["Marguerite-Antoinette"] * 7)
+    found = kinds_in(f"Elle vit au 12 bis, rue {street}, 75011 Grandville-sur-Mer.")
+    assert ("address", f"12 bis, rue {street}, 75011 Grandville-sur-Mer") in found
+    given = "Ada " + "J. " * 60 + "Fenwick"
+    assert ("name", given) in kinds_in(f"{given}, 12 Old Mill Street, Oldby")
+
+
+def test_no_sentence_tells_a_name():
+    assert kinds_in("My constituent Zorblatt Quux wrote to me about it. Behind me sit Zorblatt Quux and others.") == set()
+
+
+def test_anchors_in_long_texts_cost_linear_time():
+    import time
+
+    began = time.time()
+    for piece in ("rue ", "Street ", "Ada ", "tax number ", "mailto:", "1 ", "Mill Street, "):
+        kinds_in(piece * 60_000)
+    assert time.time() - began < 60
