@@ -30,7 +30,7 @@ def post_clean_tree(body: Node) -> tuple[str, list[str]]:
     """`post_clean` of the children of ``body``, which it changes."""
     warnings = []
     _drop_empty(body)
-    if _drop(body, ("p", "li", "small", "div", "section"), _is_boilerplate):
+    if _drop(body, ("p", "li", "small", "div", "section"), _boilerplate_test()):
         warnings.append("BOILERPLATE_REMOVED")
     if _drop(body, ("p", "div", "section", "article", "li", "nav"), _is_link_dense):
         warnings.append("LINK_DENSE_BLOCKS_REMOVED")
@@ -53,19 +53,53 @@ def _drop(body: Node, tags: tuple, test) -> bool:
 
 
 def _drop_empty(body: Node) -> None:
-    for node in reversed([n for n in body.elements() if n.tag in ("p", "div", "section", "article", "span", "li")]):
-        if not squeezed(node) and node.find(*_SOLID) is None:
+    """Remove blocks without text and solid elements, judged from the bottom up in one pass."""
+    holds: set[int] = set()  # nodes that hold text or something solid
+    for node in reversed(list(body.walk())):
+        full = id(node) in holds or node.tag in _SOLID or node.tag is None and bool(node.text.strip())
+        if full and node.parent is not None:
+            holds.add(id(node.parent))
+        elif not full and node is not body and node.tag in ("p", "div", "section", "article", "span", "li"):
             node.remove()
 
 
-def _is_boilerplate(node: Node) -> bool:
-    text = squeezed(node)
-    hits = phrase_count(text) if text else 0
-    return hits >= 2 or hits == 1 and len(text) < 100
+def _innermost(node: Node) -> Node:
+    """The element within ``node`` that holds all of its text."""
+    while True:
+        inner = [c for c in node.children if c.tag or c.text.strip()]
+        if len(inner) != 1 or inner[0].tag is None:
+            return node
+        node = inner[0]
+
+
+def _boilerplate_test():
+    known: dict[int, bool] = {}  # a chain of wrappers with the same text is read once
+
+    def test(node: Node) -> bool:
+        key = id(_innermost(node))
+        if key not in known:
+            text = squeezed(node)
+            hits = phrase_count(text) if text else 0
+            known[key] = hits >= 2 or hits == 1 and len(text) < 100
+        return known[key]
+
+    return test
+
+
+def _within(node: Node, most: int) -> int:
+    """Length of the squeezed text of ``node``, or ``most`` where it is at least that; stops reading there."""
+    parts, size = [], 0
+    for n in node.walk():
+        if n.tag is None:
+            parts.append(n.text)
+            size += len("".join(n.text.split()))
+            if size >= most:
+                return most
+    return min(most, len(" ".join("".join(parts).split())))
 
 
 def _is_link_dense(node: Node) -> bool:
-    total = len(squeezed(node))
+    total = _within(node, 200)
     return 0 < total < 200 and sum(len(squeezed(a)) for a in node.elements() if a.tag == "a") / total > 0.6
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 from pagewright.constants import KEPT_ATTRIBUTES, PASS_THROUGH, TEXT_BLOCKS
 from pagewright.dom.tree import Node, body_of, parse, serialize
@@ -11,6 +12,7 @@ from pagewright.dom.tree import Node, body_of, parse, serialize
 _SPACE = re.compile(r"\s+")
 _BLOCKS, _THROUGH = frozenset(TEXT_BLOCKS), frozenset(PASS_THROUGH)
 _DEEP = frozenset(("table", "blockquote", "ul", "ol", "pre"))
+_MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*"}
 
 
 def truncate_words(text: str, limit: int) -> str:
@@ -70,26 +72,48 @@ class Markdown:
     def flat(self, node: Node) -> str:
         return _literal(node.text_content())
 
-    def inline(self, node: Node) -> str:
+    def leaf(self, node: Node) -> str:
+        """What holds no other marks."""
         if node.tag is None:
             return _literal(node.text)
-        if node.tag == "a" and "href" in node.attrs:
-            return f"[{self.inlines(node).strip() or self.flat(node)}]({node.get('href')})"
-        if node.tag in ("strong", "b"):
-            return f"**{self.inlines(node)}**"
-        if node.tag in ("em", "i"):
-            return f"*{self.inlines(node)}*"
         if node.tag == "code":
             return f"`{self.flat(node)}`"
         if node.tag == "img" and "src" in node.attrs:
             return f"![{_literal(node.get('alt'))}]({node.get('src')})"
         return "\n" if node.tag == "br" else self.flat(node)
 
+    def inline(self, node: Node) -> str:
+        """A node with its marks; marks within marks at any depth, without recursion."""
+        frames: list[tuple[Node | None, Iterator[Node], list[str]]] = [(None, iter((node,)), [])]
+        while True:
+            holder, rest, parts = frames[-1]
+            child = next(rest, None)
+            if child is not None:
+                if child.tag in _MARKS or child.tag == "a" and "href" in child.attrs:
+                    frames.append((child, iter(child.children), []))
+                else:
+                    parts.append(self.leaf(child))
+                continue
+            said = "".join(parts)
+            if holder is None:
+                return said
+            frames.pop()
+            mark = _MARKS.get(holder.tag)
+            frames[-1][2].append(f"{mark}{said}{mark}" if mark else f"[{said.strip() or self.flat(holder)}]({holder.get('href')})")
+
     def inlines(self, node: Node) -> str:
-        return "".join(map(self.inline, node.children))
+        return "".join([self.inline(c) for c in node.children])
 
     def blocks(self, node: Node, lists: int, depth: int) -> str:
-        return "".join(self.block(c, lists, depth) for c in node.children)
+        """The blocks below a node, through containers at any depth; quotes and lists nest twice at most."""
+        out, stack = [], list(reversed(node.children))
+        while stack:
+            child = stack.pop()
+            if child.tag in _THROUGH:
+                stack.extend(reversed(child.children))
+            else:
+                out.append(self.block(child, lists, depth))
+        return "".join(out)
 
     def block(self, node: Node, lists: int, depth: int) -> str:
         tag = node.tag
@@ -114,8 +138,6 @@ class Markdown:
             return "\n\n---\n\n"
         if tag == "img":
             return self.inline(node) + "\n\n"
-        if tag in _THROUGH:
-            return self.blocks(node, lists, depth)
         return self.inline(node)
 
     def fence(self, node: Node) -> str:

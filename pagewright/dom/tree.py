@@ -7,6 +7,7 @@ one begins; raw-text elements keep their text; unclosed elements end with their
 from __future__ import annotations
 
 import html
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -28,8 +29,6 @@ _ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 _PARAGRAPH_WALLS = frozenset(("button", "td", "th", "table", "object", "body", "html", "li", "div", "section", "article", "blockquote", "figure", "form", "aside", "main"))
-#: Elements nested deeper stay siblings of the deepest; keeps recursive renderers within Python's stack.
-DEEPEST = 240
 
 
 class Node:
@@ -94,59 +93,59 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """Builds the tree; where each tag is open is kept by tag, so that elements open at any depth cost no search."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "head", "body"):
-            existing = next((n for n in self.open if n.tag == tag), None)
-            if existing is not None:
-                for key, value in attrs:
-                    existing.attrs.setdefault(key, value)
-                return
+        if tag in ("html", "head", "body") and self.places.get(tag):
+            existing = self.open[self.places[tag][0]]
+            for key, value in attrs:
+                existing.attrs.setdefault(key, value)
+            return
         if tag == "body":
             self._close_to("head")
         if tag in _ENDS_PARAGRAPH:
-            self._end({"p"}, _PARAGRAPH_WALLS)
+            self._end(("p",), _PARAGRAPH_WALLS)
         if tag in _ENDS:
             self._end(*_ENDS[tag])
         node = Node(tag, dict(attrs))
         self.open[-1].append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
-            return
         self._close_to(tag)
 
     def handle_data(self, data):
         if data:
             self.open[-1].append(Node(None, text=data))
 
+    def _cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(self.open) > depth:
+            self.places[self.open.pop().tag].pop()
+
     def _close_to(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.places.get(tag):
+            self._cut(self.places[tag][-1])
 
-    def _end(self, tags: set, walls) -> None:
+    def _end(self, tags, walls) -> None:
         """Close the outermost open element of ``tags`` above the nearest wall, and all within it."""
-        cut = 0
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                cut = k
-            elif self.open[k].tag in walls:
-                break
-        if cut:
-            del self.open[cut:]
+        wall = max((at[-1] for w in walls if w not in tags and (at := self.places.get(w))), default=0)
+        above = [at[k] for t in tags if (at := self.places.get(t)) and (k := bisect_right(at, wall)) < len(at)]
+        if above:
+            self._cut(min(above))
 
 
 def parse(source: str | None) -> Node:

@@ -6,6 +6,10 @@ pages that may not be fetched never reach Python. ``fields`` prunes what the sta
 
 from __future__ import annotations
 
+import signal
+import threading
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +77,43 @@ def extract_page(source: str | None, output_format: str, limit: int, strict_pari
         return (*[None] * len(FIELDS), None, None, None, None, None, None, None, 0.0, [type(problem).__name__], "INTERNAL_ERROR")
 
 
-def document_stage(output_format: str, limit: int, strict_parity: bool = True):
+class _Late(BaseException):
+    """The deadline of a page; no Exception, so that no repair on the way takes it for its own."""
+
+
+@contextmanager
+def deadline(seconds: float):
+    """Raise `_Late` in the main thread after ``seconds``; elsewhere, where no timer can interrupt, nothing happens."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise _Late
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def timely_page(source: str | None, output_format: str, limit: int, strict_parity: bool, seconds: float) -> tuple:
+    """`extract_page`, or LOAD_TIMEOUT for a page that takes longer, so that one page cannot hold its task."""
+    try:
+        with deadline(seconds):
+            return extract_page(source, output_format, limit, strict_parity)
+    except _Late:
+        return (*[None] * len(FIELDS), None, None, None, None, None, None, None, 0.0, [], "LOAD_TIMEOUT")
+
+
+def document_stage(output_format: str, limit: int, strict_parity: bool = True, timeout_ms: int = 15_000):
     names = [f.name for f in _STAGE]
 
     def run(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract_page(h if isinstance(h, str) else None, output_format, limit, strict_parity) for h in html], columns=names)
+        return pd.DataFrame([timely_page(h if isinstance(h, str) else None, output_format, limit, strict_parity, timeout_ms / 1000) for h in html], columns=names)
 
     return F.pandas_udf(run, _STAGE).asNondeterministic()
 
@@ -89,7 +125,7 @@ def extract(pages: DataFrame, output_format: str = "text", max_chars: int = 12_0
     text_content, title, byline, excerpt, site_name, lang, author, description,
     published_date, image_url, canonical_url, score, score_label, weak_extraction, warnings,
     error_code. A null html is NAVIGATION_FAILED, a URL against policy INVALID_URL, a load
-    that took longer than ``timeout_ms`` LOAD_TIMEOUT, a page without text
+    that took longer than ``timeout_ms``, in loading or in the document stage, LOAD_TIMEOUT, a page without text
     READABILITY_EMPTY; such rows have null figures. Other columns of ``pages`` are ignored.
     """
     if output_format not in FORMATS:
@@ -103,7 +139,7 @@ def extract(pages: DataFrame, output_format: str = "text", max_chars: int = 12_0
     early = F.coalesce(url_error(F.col("url")), F.when(elapsed > timeout_ms, F.lit("LOAD_TIMEOUT")))
     inputs = pages.select("page_id", "url", final.alias("final_url"), "html", early.alias("early"))
     refused = inputs.where(F.col("early").isNotNull())
-    loaded = spread(inputs.where(F.col("early").isNull())).withColumn("d", document_stage(output_format, max_chars, strict_parity)("html")).select("page_id", "url", "final_url", "d.*")
+    loaded = spread(inputs.where(F.col("early").isNull())).withColumn("d", document_stage(output_format, max_chars, strict_parity, timeout_ms)("html")).select("page_id", "url", "final_url", "d.*")
     text = F.col("text_content")
     failed = F.col("stage_error").isNotNull()
     title = F.coalesce(F.nullif("article_title", F.lit("")), F.col("meta_title"))
