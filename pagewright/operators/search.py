@@ -44,8 +44,11 @@ def parse_serps(pages: DataFrame) -> DataFrame:
     http(s) are dropped; positions are dense in document order.
     """
     read = pages.select("query", read_serp("html", "address").alias("s"))
-    rows = read.select("query", F.posexplode("s.rows").alias("at", "r")).select("query", "at", "r.*").where("not is_ad")
-    resolved = rows.withColumn("url", unwrap_redirect(absolute(F.col("href")))).where(is_http(F.col("url")) & ~is_engine_page(F.col("url")))
+    # Links are resolved before the rows are unnested, so that each link is a plain column to the tests that follow and their code stays small.
+    links = F.transform("s.rows", lambda r: F.struct(r["title"].alias("title"), absolute(r["href"]).alias("link"), r["display_url"].alias("display_url"), r["snippet"].alias("snippet"), r["is_ad"].alias("is_ad")))
+    targets = F.transform(links, lambda r: F.struct(r["title"].alias("title"), unwrap_redirect(r["link"]).alias("url"), r["display_url"].alias("display_url"), r["snippet"].alias("snippet"), r["is_ad"].alias("is_ad")))
+    rows = read.select("query", F.posexplode(targets).alias("at", "r")).select("query", "at", "r.*")
+    resolved = rows.where(~F.col("is_ad") & is_http(F.col("url")) & ~is_engine_page(F.col("url")))
     position = F.row_number().over(Window.partitionBy("query").orderBy("at"))
     return resolved.select("query", position.alias("position"), "title", "url", "display_url", "snippet")
 

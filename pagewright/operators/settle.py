@@ -33,6 +33,17 @@ class SettleOptions:
         return cls(budget)
 
 
+def in_flight(events: DataFrame) -> DataFrame:
+    """(page_id, t_ms, seq, in_flight) after each event (page_id, t_ms, seq, delta): 1 as a request starts, -1 as it ends.
+
+    An end without a start leaves the count at 0: the running sum is lifted by how far it
+    ever fell below. Events of a time go by ``seq``; rows without page or time are left out.
+    """
+    upto = Window.partitionBy("page_id").orderBy("t_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.where(F.col("page_id").isNotNull() & F.col("t_ms").isNotNull()).withColumn("total", F.sum(F.coalesce("delta", F.lit(0))).over(upto))
+    return rows.select("page_id", "t_ms", "seq", (F.col("total") - F.least(F.lit(0), F.min("total").over(upto))).cast("int").alias("in_flight"))
+
+
 def settle(observations: DataFrame, options: SettleOptions) -> DataFrame:
     """(page_id, reason, waited_ms, text_length) of each page: precheck, stabilized or timeout.
 

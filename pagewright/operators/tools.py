@@ -22,6 +22,21 @@ def open_result(results: DataFrame, extracted: DataFrame, rank: int = 1) -> Data
     return picked.join(pages, "page").drop("page")
 
 
+def open_outcomes(queries: DataFrame, results: DataFrame, extracted: DataFrame, rank: int = 1) -> DataFrame:
+    """One row a query: the extraction of its result of ``rank``, or the error that stands in its place.
+
+    A query without that rank is SERP_NO_RESULTS with the number of results it has; a result
+    whose page was not extracted gives the page's own error, NAVIGATION_FAILED where it is unknown.
+    """
+    counts = results.groupBy("query").agg(F.count("*").alias("found"))
+    picked = results.where(F.col("rank") == rank).select("query", F.lit(True).alias("picked"))
+    opened = open_result(results, extracted, rank).select("query", "result_id", "score", F.col("error_code").alias("page_error"))
+    rows = queries.select("query").distinct().join(counts, "query", "left").join(picked, "query", "left").join(opened, "query", "left")
+    code = F.when(F.col("picked").isNull(), F.lit("SERP_NO_RESULTS")).when(F.col("result_id").isNull(), F.coalesce("page_error", F.lit("NAVIGATION_FAILED"))).otherwise(F.col("page_error"))
+    said = F.concat(F.lit(f"No result found at rank {rank}. Only "), F.coalesce("found", F.lit(0)).cast("string"), F.lit(" results returned."))
+    return rows.select("query", "result_id", "score", code.alias("error_code"), F.when(F.col("picked").isNull(), said).alias("error_message"))
+
+
 def search_and_extract(results: DataFrame, extracted: DataFrame) -> DataFrame:
     """One row a result: what was extracted from its page, or a failed row that keeps the search title.
 

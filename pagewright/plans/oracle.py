@@ -157,6 +157,30 @@ _SAMPLE_STOP = "cookie|subscribe|newsletter|privacy policy|terms of service|adve
 _SAMPLE = _collapse("regexp_replace(regexp_replace(regexp_replace(coalesce(cleaned_html, ''), '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g')")
 
 
+_EVENTS = f"""lines AS (SELECT *, epoch_us(logged_at) // 1000 AS at_ms FROM ({_LINES}) WHERE request_id IS NOT NULL AND logged_at IS NOT NULL),
+  events AS (SELECT request_id AS page_id, CAST(at_ms - elapsed_ms AS BIGINT) AS t_ms, log_id * 2 AS seq, 1 AS delta FROM lines WHERE elapsed_ms IS NOT NULL
+    UNION ALL SELECT request_id, at_ms, log_id * 2 + 1, -1 FROM lines WHERE elapsed_ms IS NOT NULL UNION ALL SELECT request_id, at_ms, log_id * 2, 1 FROM lines WHERE elapsed_ms IS NULL),
+  summed AS (SELECT *, sum(delta) OVER (PARTITION BY page_id ORDER BY t_ms, seq) AS total FROM events),
+  flights AS (SELECT page_id, t_ms, seq, CAST(total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY t_ms, seq)) AS INTEGER) AS in_flight FROM summed)"""
+#: Polls of the settling query, with the running figures that its rule compares.
+_POLLS = f"""{_EVENTS},
+  counts AS (SELECT page_id, t_ms, arg_max(in_flight, seq) AS in_flight FROM flights GROUP BY 1, 2),
+  seen AS (SELECT request_id AS page_id, at_ms AS t_ms, coalesce(max(length(message)), 0) AS length, bool_or(error_code IS NOT NULL) AS mutated FROM lines GROUP BY 1, 2),
+  polled AS (SELECT s.*, coalesce(c.in_flight, 0) AS in_flight, row_number() OVER w - 1 AS poll, s.t_ms - first_value(s.t_ms) OVER w AS elapsed, coalesce(s.length <> lag(s.length) OVER w, false) AS changed
+    FROM seen s LEFT JOIN counts c USING (page_id, t_ms) WINDOW w AS (PARTITION BY page_id ORDER BY t_ms)),
+  figures AS (SELECT *, sum(changed::INTEGER) OVER w AS run, elapsed - coalesce(max(CASE WHEN mutated THEN elapsed END) OVER w, 0) AS quiet, elapsed - coalesce(max(CASE WHEN in_flight > 0 THEN elapsed END) OVER w, 0) AS idle
+    FROM polled WINDOW w AS (PARTITION BY page_id ORDER BY t_ms)),
+  streaks AS (SELECT *, row_number() OVER (PARTITION BY page_id, run ORDER BY t_ms) - CASE WHEN run = 0 THEN 1 ELSE 0 END AS streak FROM figures),
+  judged AS (SELECT *, poll = 0 AND length >= 60 AS fast, poll > 0 AND streak >= 1 AND quiet >= 300 AND length >= 10 AND in_flight = 0 AND idle >= 500 AS ready FROM streaks WHERE poll = 0 OR elapsed <= 60000),
+  ended AS (SELECT page_id, min(struct_pack(e := elapsed, l := length)) FILTER (fast) AS f, min(struct_pack(e := elapsed, l := length)) FILTER (ready) AS r, max(struct_pack(e := elapsed, l := length)) AS z FROM judged GROUP BY page_id)"""
+_ROWS = """SELECT search_id, rank_no, any_value(title) AS title, any_value(url) AS url, any_value(display_url) AS display_url, any_value(snippet) AS snippet, any_value(coalesce(is_ad, false)) AS ad
+  FROM search_results WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY search_id, rank_no"""
+
+
+_SAMPLED = f"""array_to_string(list_filter(list_transform(regexp_extract_all({_SAMPLE}, '[^.!?]+[.!?]+'), lambda x: trim(x)),
+          lambda x: length(x) > 30 AND length(x) < 300 AND NOT regexp_matches(lower(x), '{_SAMPLE_STOP}'))[1:5], ' | ')"""
+
+
 def statements() -> dict[str, str]:
     terms = " + ".join(f"((length(t) - length(replace(t, '{w}', ''))) // {len(w)})" for w in ("harbour", "pensions", "railway"))
     return {
@@ -179,10 +203,10 @@ def statements() -> dict[str, str]:
         "paragraph_stats": f"""SELECT result_id, len(list_filter(regexp_split_to_array(said, '\\n\\n+'), lambda p: length({_trim("p")}) > 50))::BIGINT AS paragraphs,
           CASE WHEN len(s) = 0 THEN 0 ELSE floor(list_sum(list_transform(s, lambda x: len(regexp_split_to_array({_trim("x")}, '{_WS}+')))) / len(s)::DOUBLE + 0.5) END::BIGINT AS avg_sentence_words
           FROM (SELECT result_id, said, regexp_extract_all(said, '[^.!?]+[.!?]+') AS s FROM (SELECT result_id, coalesce(text_content, '') AS said FROM extraction_results))""",
-        "text_sample": f"""SELECT result_id, array_to_string(list_filter(list_transform(regexp_extract_all({_SAMPLE}, '[^.!?]+[.!?]+'), lambda x: trim(x)),
-          lambda x: length(x) > 30 AND length(x) < 300 AND NOT regexp_matches(lower(x), '{_SAMPLE_STOP}'))[1:5], ' | ') AS sample FROM extraction_results""",
+        "text_sample": f"SELECT result_id, {_SAMPLED} AS sample FROM extraction_results",
+        "snapshot_records": f"""SELECT {_domain('url')} || '-' || substr(sha256(url), 1, 8) AS snapshot, url, {_domain('url')} AS domain, {_SAMPLED} AS wanted,
+          'cookie | subscribe | newsletter | privacy policy | terms of service' AS unwanted, 40 AS min_quality FROM extraction_results WHERE url IS NOT NULL AND length(cleaned_html) >= 500 AND {_SAMPLED} <> ''""",
         "short_hash": f"SELECT result_id, {_domain('url')} || '-' || substr(sha256(url), 1, 8) AS snapshot FROM extraction_results",
-        "normalize_docs": f"SELECT doc_id, {_truncated('flat', 400)} AS short_text FROM (SELECT doc_id, {_trim(_FLAT)} AS flat FROM documents)",
         "search_corpus_topk": f"SELECT * FROM (SELECT doc_id, ({terms})::BIGINT AS hits FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)) WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 10",
         "search_ranks": f"SELECT search_id, result_rank::INTEGER AS result_rank, rank_no, {_unwrap('url')} AS target FROM ({_SHAPED}) WHERE result_rank <= 5",
         "open_result_rank": f"WITH {_LINKED} SELECT k.search_id, l.result_id, l.score FROM keyed k JOIN latest l ON l.canonical = k.page WHERE k.result_rank = 1",
@@ -207,5 +231,32 @@ def statements() -> dict[str, str]:
         "serp_roundtrip": f"""SELECT search_id, (row_number() OVER (PARTITION BY search_id ORDER BY rank_no))::INTEGER AS position, {_collapse("title")} AS title, target FROM (
           SELECT search_id, rank_no, any_value(title) AS title, any_value({_unwrap("url")}) AS target, any_value(coalesce(is_ad, false)) AS ad FROM search_results WHERE title IS NOT NULL AND url IS NOT NULL GROUP BY search_id, rank_no)
           WHERE NOT ad AND {_http("target")}""",
+        "serp_cards": f"""SELECT search_id, (row_number() OVER (PARTITION BY search_id ORDER BY rank_no))::INTEGER AS position, {_collapse("title")} AS title, target,
+          CASE WHEN rank_no % 3 = 2 THEN NULL ELSE nullif({_collapse("display_url")}, '') END AS display_url, CASE WHEN length({_collapse("snippet")}) BETWEEN 40 AND 360 THEN {_collapse("snippet")} END AS snippet
+          FROM (SELECT *, {_unwrap("url")} AS target FROM ({_ROWS})) WHERE NOT ad AND {_http("target")}""",
+        "serp_blocks": f"""SELECT search_id AS query, CASE search_id % 8 WHEN 4 THEN 'SERP_PARSE_FAILED' WHEN 5 THEN 'SERP_NO_RESULTS' WHEN 6 THEN 'SERP_NO_RESULTS' WHEN 7 THEN 'SERP_NO_RESULTS' ELSE 'SERP_BLOCKED' END AS error_code,
+          CASE search_id % 8 WHEN 0 THEN 'Google returned a /sorry/ anti-bot page' WHEN 1 THEN 'Google reCAPTCHA challenge detected' WHEN 2 THEN 'Google CAPTCHA form detected'
+            WHEN 3 THEN 'Google block/rate-limit signal detected: unusual traffic' ELSE 'No results' END AS error_message
+          FROM (SELECT search_id, bool_or(NOT ad AND {_http("target")}) AS any_row FROM (SELECT *, {_unwrap("url")} AS target FROM ({_ROWS})) GROUP BY search_id) WHERE search_id % 8 < 6 OR NOT any_row""",
+        "open_result_outcomes": f"""WITH {_LINKED} SELECT q.search_id, l.result_id, l.score, CASE WHEN k.search_id IS NULL THEN 'SERP_NO_RESULTS' WHEN l.result_id IS NULL THEN 'NAVIGATION_FAILED' END AS error_code,
+          CASE WHEN k.search_id IS NULL THEN 'No result found at rank 5. Only ' || (SELECT count(*) FROM keyed c WHERE c.search_id = q.search_id) || ' results returned.' END AS error_message
+          FROM (SELECT DISTINCT search_id FROM search_results) q LEFT JOIN (SELECT * FROM keyed WHERE result_rank = 5) k ON k.search_id = q.search_id LEFT JOIN latest l ON l.canonical = k.page""",
+        "search_web": f"""WITH typed AS (SELECT DISTINCT query_text AS query, lower({_collapse("query_text")}) AS key, greatest(1, least(10, length(query_text) % 13)) AS n FROM search_results WHERE length(query_text) BETWEEN 1 AND 500),
+          keyed AS (SELECT *, lower({_collapse("query_text")}) AS key FROM search_results),
+          last AS (SELECT key, max(struct_pack(a := searched_at, b := search_id)).b AS search_id FROM keyed GROUP BY key),
+          rows AS (SELECT DISTINCT t.query, t.n, k.rank_no, k.title, {_unwrap("k.url")} AS url, k.snippet, k.source FROM typed t JOIN last USING (key) JOIN keyed k ON k.key = t.key AND k.search_id = last.search_id WHERE NOT coalesce(k.is_ad, false))
+          SELECT query, rank::INTEGER AS rank, title, url, snippet, source FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank_no, url) AS rank FROM rows) WHERE rank <= n""",
+        "sub_resources": f"""SELECT result_id, resource_type, ok AND resource_type NOT IN ('image', 'media', 'font') AS may_load, ok AS may_load_all FROM (
+          SELECT result_id, resource_type, {_http("address")} AND NOT {_private("address")} AS ok FROM (SELECT result_id, 'image' AS resource_type, image_url AS address FROM extraction_results
+            UNION ALL SELECT result_id, 'document', url FROM extraction_results UNION ALL SELECT result_id, 'font', canonical_url FROM extraction_results
+            UNION ALL SELECT result_id, 'script', canonical_url FROM extraction_results) WHERE address IS NOT NULL)""",
+        "nested_results": f"""WITH {_LINKED}, one AS (SELECT k.search_id, k.result_rank, k.url, l.text_content, l.score FROM keyed k LEFT JOIN latest l ON l.canonical = k.page)
+          SELECT q.search_id, count(one.search_id)::BIGINT AS listed, coalesce(string_agg(result_rank || ':' || url, ' ' ORDER BY result_rank), '') AS ranks,
+            coalesce(string_agg(result_rank || ':' || coalesce(length(text_content), 0) || ':' || CASE WHEN text_content IS NULL THEN 0 ELSE coalesce(score, 0) END, ' ' ORDER BY result_rank), '') AS extracted
+          FROM (SELECT DISTINCT search_id FROM search_results) q LEFT JOIN one ON one.search_id = q.search_id GROUP BY q.search_id""",
+        "unextracted_urls": f"""WITH {_LINKED} SELECT DISTINCT page AS canonical FROM (SELECT page FROM keyed UNION ALL SELECT {_canonical("url")} FROM log_entries WHERE url IS NOT NULL)
+          WHERE page NOT IN (SELECT canonical FROM latest)""",
+        "open_requests": f"WITH {_EVENTS} SELECT page_id, t_ms, seq, in_flight FROM flights",
+        "settle_requests": f"""WITH {_POLLS} SELECT page_id, CASE WHEN f IS NOT NULL THEN 'precheck' WHEN r IS NOT NULL THEN 'stabilized' ELSE 'timeout' END AS reason, coalesce(f, r, z).e AS waited_ms, coalesce(f, r, z).l AS text_length FROM ended""",
         "health": "SELECT 'ok' AS status, '0.1.0' AS version, true AS search_ready",
     }
