@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from pagewright.llm.lexicon import INVISIBLE
 from pagewright.llm.pages import page_facts
-from pagewright.llm.tables import site_of, stage
+from pagewright.llm.tables import read_table, site_of, stage
 
 #: A line is repeated if it occurs in at least so many different records of a site.
 LEAST_RECORDS = 5
@@ -128,10 +128,15 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return occurrences(rows, repeated_lines(rows)).distinct()
 
 
+def p2_all_lines(spark: SparkSession, base: str) -> DataFrame:
+    """As `p2_found`, with no record left out: what the bitmaps alone give."""
+    pages = read_table(spark, base, "extraction_results").where(F.col("result_id").isNotNull()).select("result_id", "url", "text_content")
+    rows = stage(line_rows(pages), "p2-all-lines")
+    return occurrences(rows, repeated_lines(rows)).distinct()
+
+
 def p2_clean(spark: SparkSession, base: str) -> DataFrame:
     """Each record with its text without the repeated lines, and how many were deleted; records left out keep their text."""
-    from pagewright.llm.tables import read_table
-
     pages = read_table(spark, base, "extraction_results").where(F.col("result_id").isNotNull())
     hits = p2_found(spark, base).groupBy("result_id").agg(F.collect_set("line_no").alias("gone"))
     lines = F.split("text_content", "\n", -1)

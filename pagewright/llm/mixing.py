@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.tables import bounded_rows, read_table, stage, tune
+from pagewright.llm.tables import bounded_rows, fingerprint, once, read_table, stage, tune
 from pagewright.llm.tokens import token_counter
 
 #: Target shares are a small fixed table.
@@ -53,7 +53,8 @@ def copies(doc_id: Column, rate: Column) -> Column:
 def sized_documents(spark: SparkSession, base: str) -> DataFrame:
     tune(spark)
     documents = read_table(spark, base, "documents").where(F.col("doc_id").isNotNull())
-    return stage(documents.select("doc_id", source_key(F.col("source")).alias("source"), token_counter()("text").alias("n_tokens")), "p7-sizes")
+    sizes = documents.select("doc_id", source_key(F.col("source")).alias("source"), token_counter()("text").alias("n_tokens"))
+    return once(spark, ("sizes", *fingerprint(spark, base, "documents")), lambda: stage(sizes, "p7-sizes"))
 
 
 def _targets(spark: SparkSession, base: str) -> list[tuple[str, float, int]]:
@@ -94,13 +95,41 @@ def p7_mix(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, base: str) -> DataFrame:
-    """For each target source: its target share, its tokens and records, the rate, and the share it really has in the mix."""
+    """For each target source: its target share, its tokens and records, the rate, the share it really has in the mix, and the standard error of that share.
+
+    The one random copy of a document of n tokens has variance f(1 - f)n², f the fraction of
+    the rate; ``share_error`` is the root of their sum over the source, as a share of the mix.
+    """
     picked, rated = _mixed(spark, base)
+    return _shares(picked, rated, _chance(spark, base, rated))
+
+
+def _chance(spark: SparkSession, base: str, rated: DataFrame) -> DataFrame:
+    """(source, variance) of the tokens that each source's random copies add."""
+    sizes = sized_documents(spark, base).join(F.broadcast(rated.select("source", "rate")), "source")
+    part = F.col("rate") - F.floor(F.col("rate") + F.lit(1e-9))
+    return sizes.groupBy("source").agg(F.sum(part * (F.lit(1.0) - part) * F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("variance"))
+
+
+def _shares(picked: DataFrame, rated: DataFrame, chance: DataFrame) -> DataFrame:
     used = picked.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.sum("copies").alias("mixed_records"), F.max("copies").alias("most_uses"))
     total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # over one row a target
-    joined = rated.join(used, "source", "left").withColumn("total", F.coalesce(total, F.lit(0)))
-    mixed = F.coalesce("mixed_tokens", F.lit(0))
+    joined = rated.join(used, "source", "left").join(chance, "source", "left").withColumn("total", F.coalesce(total, F.lit(0)))
+    mixed, whole = F.coalesce("mixed_tokens", F.lit(0)), F.greatest("total", F.lit(1))
     return joined.select(
         "source", "target_share", "max_repeats", "source_tokens", "source_records", F.round("rate", 6).alias("rate"), mixed.alias("mixed_tokens"),
-        F.coalesce("mixed_records", F.lit(0)).alias("mixed_records"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.round(mixed / F.greatest("total", F.lit(1)), 6).alias("actual_share"),
+        F.coalesce("mixed_records", F.lit(0)).alias("mixed_records"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.round(mixed / whole, 6).alias("actual_share"),
+        F.round(F.sqrt(F.greatest(F.coalesce("variance", F.lit(0.0)), F.lit(0.0))) / whole, 6).alias("share_error"),
     )
+
+
+def p7_checks(spark: SparkSession, base: str) -> DataFrame:
+    """For each target source what must hold of the mix whatever the tokens: its records, that none is used too often, and that its share is met.
+
+    Shares are met within five standard errors, among the sources that have records.
+    """
+    shares = p7_shares(spark, base)
+    live = F.sum(F.when(F.col("source_tokens") > 0, F.col("target_share"))).over(Window.partitionBy(F.lit(0)))  # over one row a target
+    wanted = F.when(F.col("source_tokens") > 0, F.col("target_share") / live).otherwise(F.lit(0.0))
+    error = F.greatest(F.lit(5.0) * F.sqrt(F.sum(F.col("share_error") * F.col("share_error")).over(Window.partitionBy(F.lit(0)))), F.lit(1e-4))
+    return shares.select("source", "source_records", (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("actual_share") - wanted) <= error).alias("share_met"))

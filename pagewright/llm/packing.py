@@ -203,3 +203,14 @@ def p6_fill(spark: SparkSession, base: str) -> DataFrame:
     return boxes.groupBy("spec_id", "capacity_tokens").agg(
         F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / (F.count("*") * F.col("capacity_tokens")), 6).alias("filled_share"), F.sum("split").alias("split_texts")
     )
+
+
+def p6_checks(spark: SparkSession, base: str) -> DataFrame:
+    """For each capacity what must hold of the packing whatever the tokens: texts placed, containers over capacity or with gaps, texts split without need, texts with a piece missing or out of place."""
+    packed = p6_pack(spark, base)
+    boxes = packed.groupBy("spec_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.max(F.col("token_offset") + F.col("n_tokens")).alias("reach"))
+    filled = boxes.groupBy("spec_id", "capacity_tokens").agg(F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("over_capacity"), F.count_if(F.col("tokens") != F.col("reach")).alias("with_gaps"))
+    texts = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("pieces"), F.countDistinct("part_no").alias("parts"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("reach"), F.first("capacity_tokens").alias("capacity"))
+    split = (F.col("parts") > 1) & (F.col("tokens") * F.col("parts") <= F.col("capacity") * F.col("pieces"))
+    whole = texts.groupBy("spec_id").agg(F.count("*").alias("texts"), F.count_if(split).alias("needless_splits"), F.count_if(F.col("tokens") * F.col("parts") != F.col("reach") * F.col("pieces")).alias("incomplete"))
+    return filled.join(whole, "spec_id")
